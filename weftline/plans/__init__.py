@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import eval_queries, route_queries, text_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {**text_queries.QUERIES, **route_queries.QUERIES, **eval_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES, **route_queries.ORACLES, **eval_queries.ORACLES}
