@@ -77,7 +77,7 @@ def example_counts(spark, sf_dir):
 
 def action_lines(spark, sf_dir):
     """The lines that matched texts print, and their intents' short labels."""
-    routed = R.route_text(spark, sf_dir).filter("intent_name IS NOT NULL")
+    routed = R.route_text(spark, sf_dir).filter("intent_name <> ''")
     return routed.select("conv_id", "turn", T.action_line(F.col("intent_name"), F.col("score")).alias("line"), T.action_text(F.col("intent_name")).alias("action"), T.short_label(F.concat(F.lit("ACTION_"), "sanitized")).alias("label"))
 
 

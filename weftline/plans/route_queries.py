@@ -22,6 +22,11 @@ def _examples(spark, sf_dir, per_label: int) -> DataFrame:
     return vectors.withColumn("r", rank).filter(F.col("r") <= per_label).select(F.col("vec_id").alias("reg_ord"), F.concat(F.lit("INTENT_"), "label").alias("name"), "embedding")
 
 
+def _or(col, value, name: str | None = None):
+    """The column with a plain value where there was no match, since results are compared as text."""
+    return F.coalesce(col, F.lit(value)).alias(name or col)
+
+
 def cosine_pairs(spark, sf_dir):
     registry = Registry.of(_examples(spark, sf_dir, 1))
     scored = score_intents(_read(spark, sf_dir, "embeddings"), registry)
@@ -56,7 +61,7 @@ def scores_pivot(spark, sf_dir):
 
 def route_vectors(spark, sf_dir):
     routed = match_vectors(_read(spark, sf_dir, "embeddings"), Registry.of(_examples(spark, sf_dir, 5)))
-    return routed.select("vec_id", "intent_name", F.round("score", 4).alias("score"))
+    return routed.select("vec_id", _or("intent_name", ""), _or(F.round("score", 4), -1.0, "score"))
 
 
 def _text_registry(spark, sf_dir, provider) -> Registry:
@@ -76,7 +81,7 @@ def route_text(spark, sf_dir):
     provider = HashingProvider(SIZE)
     users = _read(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", T.sanitize(F.col("text")).alias("sanitized"))
     routed = route(users, _text_registry(spark, sf_dir, provider), provider)
-    return routed.select("conv_id", "turn", "sanitized", "route.intent_name", F.round("route.score", 6).alias("score"), F.col("route.ord").alias("phrase_ord"))
+    return routed.select("conv_id", "turn", "sanitized", _or("route.intent_name", "", "intent_name"), _or(F.round("route.score", 6), -1.0, "score"), _or("route.ord", -1, "phrase_ord"))
 
 
 def _log(spark, sf_dir) -> DataFrame:
@@ -149,9 +154,8 @@ def payload_api(spark, sf_dir):
 def session_replay(spark, sf_dir):
     provider = HashingProvider(SIZE)
     done = session.replay(_user_turns(spark, sf_dir), _text_registry(spark, sf_dir, provider), provider, SYSTEM, 3)
-    n, roles, digest = _parsed(F.col("payload"))
     matched = F.col("route").isNotNull()
-    return done.select("conv_id", "turn", matched.alias("matched"), "action", F.size("history").alias("n_history"), _shown(F.col("history")).alias("history_md5"), F.when(~matched, F.size(F.from_json("payload", prompt.MESSAGE))).alias("n_messages"))
+    return done.select("conv_id", "turn", matched.alias("matched"), _or("action", ""), F.size("history").alias("n_history"), _shown(F.col("history")).alias("history_md5"), F.when(~matched, F.size(F.from_json("payload", prompt.MESSAGE))).otherwise(0).alias("n_messages"))
 
 
 _EX = "examples AS (SELECT vec_id AS reg_ord, 'INTENT_' || label AS name, embedding::DOUBLE[] AS e FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) WHERE r <= {n})"
@@ -173,10 +177,10 @@ ORACLES = {
     "max_score_per_intent": f"{_WITH} SELECT vec_id, name, round(s, 4) AS score FROM top",
     "best_intent": f"{_WITH} SELECT vec_id, name AS best_intent, round(s, 4) AS best_score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, name) AS r FROM top) WHERE r = 1",
     "scores_pivot": f"{_WITH} SELECT vec_id, " + ", ".join(f"round(coalesce(max(CASE WHEN name = 'INTENT_{i}' THEN s END), 0.0), 4) AS intent_{i}" for i in range(10)) + " FROM top GROUP BY vec_id",
-    "route_vectors": f"{_WITH}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, reg_ord) AS r FROM pairs) WHERE r = 1) SELECT vec_id, CASE WHEN s >= {THRESHOLD} THEN name END AS intent_name, CASE WHEN s >= {THRESHOLD} THEN round(s, 4) END AS score FROM b",
+    "route_vectors": f"{_WITH}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, reg_ord) AS r FROM pairs) WHERE r = 1) SELECT vec_id, CASE WHEN s >= {THRESHOLD} THEN name ELSE '' END AS intent_name, CASE WHEN s >= {THRESHOLD} THEN round(s, 4) ELSE -1 END AS score FROM b",
     "route_text": f"""WITH src AS (SELECT conv_id * 1000 + turn AS k, {O.sanitize('text')} AS "full" FROM conversations WHERE role = 'user'),
 {O.routed('src', 'k', T.STOP_WORDS, THRESHOLD, EARLY_EXIT, SIZE)}
-SELECT src.k // 1000 AS conv_id, src.k % 1000 AS turn, "full" AS sanitized, intent_name, round(score, 6) AS score, ord::INT AS phrase_ord FROM src LEFT JOIN routes USING (k)""",
+SELECT src.k // 1000 AS conv_id, src.k % 1000 AS turn, "full" AS sanitized, coalesce(intent_name, '') AS intent_name, coalesce(round(score, 6), -1) AS score, coalesce(ord, -1)::INT AS phrase_ord FROM src LEFT JOIN routes USING (k)""",
     "recent_history": f"SELECT conv_id, id AS turn, len(h)::INT AS n_history, md5({_HIST.format(h='h')}) AS history_md5 FROM (SELECT conv_id, id, {_BEFORE} AS h FROM {_LOG})",
     "last_messages": f"SELECT conv_id, count(*)::INT AS n_history, md5(string_agg(role || ':' || content, chr(10) ORDER BY id)) AS history_md5 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY id DESC) AS r FROM {_LOG}) WHERE r <= 5 GROUP BY conv_id",
     "chronological_last_k": f"SELECT * FROM {_LOG} ORDER BY conv_id DESC, id DESC LIMIT 10",
@@ -195,6 +199,6 @@ FROM (SELECT conv_id, id, role, {O.sanitize('content')} AS c, {_BEFORE} AS h FRO
 said AS (SELECT k // 1000 AS conv_id, k % 1000 AS turn, "full", intent_name FROM src LEFT JOIN routes USING (k)),
 log AS (SELECT conv_id, 2 * turn AS id, 'user' AS role, "full" AS content FROM said UNION ALL SELECT conv_id, 2 * turn + 1, 'assistant', 'Executed local action: ' || intent_name FROM said WHERE intent_name IS NOT NULL),
 seen AS (SELECT conv_id, id, {_BEFORE} AS h FROM log)
-SELECT said.conv_id, turn, intent_name IS NOT NULL AS matched, 'Executed local action: ' || intent_name AS action, len(h)::INT AS n_history, md5({_HIST.format(h='h')}) AS history_md5,
-CASE WHEN intent_name IS NULL THEN (len(h) + 2)::INT END AS n_messages FROM said JOIN seen ON seen.conv_id = said.conv_id AND seen.id = 2 * turn""",
+SELECT said.conv_id, turn, intent_name IS NOT NULL AS matched, coalesce('Executed local action: ' || intent_name, '') AS action, len(h)::INT AS n_history, md5({_HIST.format(h='h')}) AS history_md5,
+CASE WHEN intent_name IS NULL THEN (len(h) + 2)::INT ELSE 0 END AS n_messages FROM said JOIN seen ON seen.conv_id = said.conv_id AND seen.id = 2 * turn""",
 }
