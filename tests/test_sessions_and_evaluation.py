@@ -1,0 +1,110 @@
+import json
+import random
+import subprocess
+import sys
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from weftline.operators import evaluate
+from weftline.operators.embed import HashingProvider
+from weftline.operators.route import Registry
+from weftline.plans import session
+from weftline.streaming import session as stream
+
+TURNS = [(1, 0, "Open the DOOR"), (1, 1, "  "), (1, 2, "tell me more"), (1, 3, "open door"), (1, 4, "and then"), (1, 5, " QuIt "), (1, 6, "late"), (2, 0, "hello there")]
+
+
+def replayed(spark, k, bodies=None):
+    provider = HashingProvider(64)
+    registry = Registry.of(spark.createDataFrame([(0, "OPEN", "open door")], "reg_ord int, name string, example string"), provider)
+    turns = spark.createDataFrame(TURNS, "conv_id long, turn long, text string")
+    return turns, registry, provider, {(r["conv_id"], r["turn"]): r for r in session.replay(turns, registry, provider, "sys", k).collect()}
+
+
+def test_replay(spark):
+    _, _, _, got = replayed(spark, 3)
+    assert sorted(got) == [(1, 0), (1, 2), (1, 3), (1, 4), (2, 0)]
+    assert got[1, 0]["action"] == "Executed local action: OPEN" and got[1, 0]["payload"] is None
+    shown = [m["content"] for m in got[1, 4]["history"]]
+    assert shown == ["tell me more", "open door", "Executed local action: OPEN"]
+    assert [m["content"] for m in json.loads(got[1, 4]["payload"])] == ["sys", *shown, "and then"]
+
+
+def test_final_log_against_a_sequential_session(spark):
+    rnd = random.Random(4)
+    rows, wanted = [], set()
+    for conv in range(40):
+        k, log, n = 2, [], 0
+        for turn in range(rnd.randint(1, 9)):
+            matched = rnd.random() < 0.5
+            for _ in range(2 if matched else 1):
+                n += 1
+                log.append(n)
+                rows.append((conv, n, "user", "x", matched))
+            if not matched:
+                log = log[-2 * k :]
+        wanted |= {(conv, i) for i in log}
+    df = spark.createDataFrame(rows, "conv_id long, id long, role string, content string, matched boolean")
+    assert {(r["conv_id"], r["id"]) for r in session.final_log(df, 2).collect()} == wanted
+
+
+def test_actions_get_matches_only(spark):
+    turns, registry, provider, _ = replayed(spark, 3)
+    seen = []
+    session.run_actions(session.replay(turns, registry, provider), lambda df: seen.extend(r["turn"] for r in df.collect()))
+    assert sorted(seen) == [0, 3]
+
+
+def test_stream_gives_the_histories_of_the_batch(spark, tmp_path):
+    turns = spark.createDataFrame(TURNS, "conv_id long, turn long, text string")
+    turns.coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = []
+    source = spark.readStream.schema(turns.schema).parquet(str(tmp_path / "in"))
+    stream.start(source, lambda df, _: seen.extend(df.collect()), str(tmp_path / "ck"), history_limit=2).awaitTermination()
+    got = {(r["conv_id"], r["turn"]): [m["content"] for m in r["history"]] for r in seen}
+    assert got == {(1, 0): [], (1, 2): ["open the door"], (1, 3): ["open the door", "tell me more"], (1, 4): ["tell me more", "open door"], (2, 0): []}
+
+
+def test_by_index(spark):
+    rows = [("a", float(x)) for x in range(10)] + [("b", 3.0), ("c", 1.0), ("c", 2.0)]
+    got = {r["k"]: r for r in evaluate.latency_stats(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    assert (got["a"]["p50"], got["a"]["p95"]) == (5.0, 9.0) and got["b"]["p95"] == 3.0 and (got["c"]["p50"], got["c"]["p95"]) == (2.0, 2.0)
+    assert got["a"]["std"] == pytest.approx(np.std(range(10)))
+
+
+def test_sweep_and_best(spark):
+    grid = [r[0] for r in spark.range(1).select(F.explode(evaluate.thresholds())).collect()]
+    assert grid == np.arange(0.40, 0.96, 0.02).tolist()
+    rows = [("a", "a", 0.9), ("a", "b", 0.9), ("", "a", 0.9), ("", "a", 0.1), ("a", "a", 0.41)]
+    sweep = evaluate.threshold_sweep(spark.createDataFrame(rows, "expected string, best_intent string, best_score double"))
+    first = sweep.orderBy("threshold").first()
+    assert (first["tp"], first["fn"], first["tn"], first["fp"]) == (2, 0, 1, 2)
+    none = evaluate.threshold_sweep(spark.createDataFrame([("", "a", 0.1)], "expected string, best_intent string, best_score double"))
+    r = evaluate.best_f1(none, 0.65).first()
+    assert r["chart"] == pytest.approx(0.40) and r["dashboard"] == 0.65 and r["f1"] == 0
+
+
+def test_summary_of_nothing_and_something(spark):
+    schema = "avg_us double, p50_us double, p95_us double, correct boolean, matched boolean, score double"
+    r = evaluate.summary(spark.createDataFrame([(1.0, 1.0, 1.0, True, True, 0.9), (3.0, 2.0, 2.0, False, False, 0.2), (2.0, 3.0, 3.0, True, False, 0.1), (2.0, 10.0, 10.0, True, True, 0.7)], schema)).first()
+    assert r["total"] == 4 and r["p95_us"] == pytest.approx(8.95) and r["per_second"] == pytest.approx(5e5) and r["max_score"] == 0.9
+    assert evaluate.summary(spark.createDataFrame([], schema)).first()["per_second"] == 0
+
+
+def test_matrix_and_scores(spark):
+    df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "name string, embedding array<float>")
+    assert {(r["i"], r["j"], r["score"]) for r in evaluate.similarity_matrix(df).collect()} == {("a", "a", 1.0), ("a", "b", 0.0), ("b", "a", 0.0), ("b", "b", 1.0)}
+    pairs = spark.createDataFrame([(1, "a", 0.1), (1, "a", 0.4), (1, "b", 0.2)], "i int, name string, score double")
+    assert evaluate.scores_by_intent(pairs, ["i"]).first()["scores"] == {"a": 0.4, "b": 0.2}
+
+
+def test_command_line(tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"intents": [{"name": "OPEN", "example": "open door"}]}))
+    (tmp_path / "in.txt").write_text("open door\ntell me\nquit\nmore")
+    run = lambda *a: subprocess.run([sys.executable, "-m", "weftline.cli", *a], capture_output=True, text=True, timeout=240)
+    assert run("--version").returncode == 0
+    assert run(str(tmp_path / "none.json")).returncode == 1
+    out = run(str(tmp_path / "c.json"), "--hashing", "--input", str(tmp_path / "in.txt")).stdout
+    assert "[ACTION] OPEN" in out and '"content": "tell me"' in out and "history messages" in out and "more" not in out

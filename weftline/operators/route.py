@@ -58,7 +58,7 @@ class Registry:
         self.rows = []
 
     def matrix(self) -> np.ndarray:
-        return np.array([r[1] for r in self.rows], "f8").reshape(len(self.rows), -1)
+        return np.array([r[1] for r in self.rows], "f8").reshape(len(self.rows), -1 if self.rows else 0)
 
 
 def similarities(vectors: np.ndarray, registry: np.ndarray) -> np.ndarray:

@@ -172,11 +172,11 @@ _CONTENT = "CASE WHEN id % 2 = 0 THEN 'Use the following context to answer the q
 QUERIES = {f.__name__: f for f in (cosine_pairs, intent_similarity_matrix, max_score_per_intent, best_intent, scores_pivot, route_vectors, route_text, recent_history, last_messages, chronological_last_k, prune_keep_latest, update_last_message, append_message, clear_history, session_cut, payload_messages, payload_api, session_replay)}
 
 ORACLES = {
-    "cosine_pairs": f"WITH {_EX.format(n=1)}, {_PAIRS} SELECT vec_id, name, round(s, 4) AS score FROM pairs",
-    "intent_similarity_matrix": f"WITH {_EX.format(n=1)} SELECT a.name AS i, b.name AS j, round(list_cosine_similarity(a.e, b.e), 3) AS score FROM examples a, examples b",
-    "max_score_per_intent": f"{_WITH} SELECT vec_id, name, round(s, 4) AS score FROM top",
-    "best_intent": f"{_WITH} SELECT vec_id, name AS best_intent, round(s, 4) AS best_score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, name) AS r FROM top) WHERE r = 1",
-    "scores_pivot": f"{_WITH} SELECT vec_id, " + ", ".join(f"round(coalesce(max(CASE WHEN name = 'INTENT_{i}' THEN s END), 0.0), 4) AS intent_{i}" for i in range(10)) + " FROM top GROUP BY vec_id",
+    "cosine_pairs": f"WITH {_EX.format(n=1)}, {_PAIRS} SELECT vec_id, name, round(s, 4) + 0.0::DOUBLE AS score FROM pairs",
+    "intent_similarity_matrix": f"WITH {_EX.format(n=1)} SELECT a.name AS i, b.name AS j, round(list_cosine_similarity(a.e, b.e), 3) + 0.0::DOUBLE AS score FROM examples a, examples b",
+    "max_score_per_intent": f"{_WITH} SELECT vec_id, name, round(s, 4) + 0.0::DOUBLE AS score FROM top",
+    "best_intent": f"{_WITH} SELECT vec_id, name AS best_intent, round(s, 4) + 0.0::DOUBLE AS best_score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, name) AS r FROM top) WHERE r = 1",
+    "scores_pivot": f"{_WITH} SELECT vec_id, " + ", ".join(f"round(coalesce(max(CASE WHEN name = 'INTENT_{i}' THEN s END), 0.0), 4) + 0.0::DOUBLE AS intent_{i}" for i in range(10)) + " FROM top GROUP BY vec_id",
     "route_vectors": f"{_WITH}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, reg_ord) AS r FROM pairs) WHERE r = 1) SELECT vec_id, CASE WHEN s >= {THRESHOLD} THEN name ELSE '' END AS intent_name, CASE WHEN s >= {THRESHOLD} THEN round(s, 4) ELSE -1 END AS score FROM b",
     "route_text": f"""WITH src AS (SELECT conv_id * 1000 + turn AS k, {O.sanitize('text')} AS "full" FROM conversations WHERE role = 'user'),
 {O.routed('src', 'k', T.STOP_WORDS, THRESHOLD, EARLY_EXIT, SIZE)}

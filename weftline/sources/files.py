@@ -16,15 +16,17 @@ def load_vocab(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter("token <> ''").groupBy("token").agg(F.max("token_id").cast("long").alias("token_id"))
 
 
-def _encoding(path: str) -> str:
+def _encoding(path: str) -> str | None:
     with open(path, "rb") as f:
         start = f.read(2)
-    return "UTF-16" if start in (b"\xff\xfe", b"\xfe\xff") else "UTF-8"
+    return "UTF-16" if start in (b"\xff\xfe", b"\xfe\xff") else None
 
 
 def load_results(spark: SparkSession, path: str) -> DataFrame:
     """The one-row table of a benchmark document (UTF-8 or UTF-16 by its byte order mark)."""
-    return spark.read.option("multiLine", True).option("encoding", _encoding(path)).json(path)
+    encoding = _encoding(path)  # the reader sees a UTF-8 mark itself, if no encoding is named
+    reader = spark.read.option("multiLine", True)
+    return (reader.option("encoding", encoding) if encoding else reader).json(path)
 
 
 def sections(document: DataFrame) -> dict[str, DataFrame]:
