@@ -107,11 +107,15 @@ class PivotTable:
         return out
 
     def forest(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Links that span the components among different fingerprints, each link verified."""
+        """Pairs (first member, other member) of each component among different fingerprints.
+
+        Members are reached over verified links only; a pair stands for the links between the two.
+        """
         table, left = self.distances(prints), np.arange(len(prints))
         ends: list[tuple[int, int]] = []
         while len(left):
-            front, left = [left[0]], left[1:]
+            first, left = int(left[0]), left[1:]
+            front = [first]
             while front and len(left):
                 i = front.pop()
                 near = left
@@ -119,7 +123,7 @@ class PivotTable:
                     near = near[(np.abs(table[near, at : at + 8] - table[i, at : at + 8]) <= self.radius).all(axis=1)]
                 near = near[np.bitwise_count(prints[near] ^ prints[i]) <= self.radius]
                 if len(near):
-                    ends += [(i, j) for j in near]
+                    ends += [(first, j) for j in near.tolist()]
                     front += near.tolist()
                     left = left[~np.isin(left, near)]
         pairs = np.array(ends, "i8").reshape(-1, 2)
@@ -153,7 +157,7 @@ def _groups(keyed: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def links(prints: DataFrame, radius: int = RADIUS, most: int = MOST_IN_GROUP) -> DataFrame:
-    """Links (a, b) between different fingerprints at most `radius` bits apart: enough of them to connect every component.
+    """Pairs (a, b) of different fingerprints joined by links of at most `radius` bits: enough to connect every component.
 
     prints: the different values of `fp`, already cut.
     """
@@ -171,27 +175,25 @@ def links(prints: DataFrame, radius: int = RADIUS, most: int = MOST_IN_GROUP) ->
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (the smallest node of its component) of every node of the links (a, b), each with a > b after orientation.
+    """node and root (the smallest node of its component) of every node of the pairs (a, b).
 
-    Large-star and small-star steps in turn until the links stay the same. Each step aggregates a minimum per node,
-    with partial sums before the shuffle, and is cut in the shared folder; nothing comes to the driver but two sums.
+    Large-star and small-star steps in turn until the pairs are stars: no node has two roots and no root has one itself.
+    Each step aggregates a minimum per node, with partial minima before the shuffle, and each round is cut in the
+    shared folder; nothing comes to the driver but whether a round is needed.
     """
-    up = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
-    state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    edges = cut(up(edges))
-    before = state(edges)
-    while before[0]:
+    up = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b")
+    edges = cut(up(edges).distinct())
+    while True:
+        ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if not ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up = 1 AND down = 1)").take(1):
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = up(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         pointed = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = cut(up(pointed))
-        now = state(edges)
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        edges = cut(up(pointed).distinct())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def hex_of(fp: Column) -> Column:
