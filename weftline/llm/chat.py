@@ -28,6 +28,8 @@ from itertools import groupby
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .common import prepare
+
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 WINDOW = 256
@@ -118,7 +120,7 @@ def _formatter(template: Template, window: int):
 
 def format_chats(conversations: DataFrame, template: Template = chatml, window: int = WINDOW, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, formatted, spans and rewrites of every conversation; the loss mask of a role are its text spans."""
-    rows = conversations.select(F.col(conv_col).cast("string").alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    rows = prepare(conversations).select(F.col(conv_col).cast("string").alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     ordered = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
     formatted = ordered.select("conv", "role", "text").mapInPandas(_formatter(template, window), FORMATTED)
     return formatted.withColumn("conv_id", F.col("conv").cast("long")).select("conv_id", "formatted", "spans", "rewrites")

@@ -13,6 +13,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 BROADCAST_ROWS = 20_000
 
 
+#: Texts cross into Python in batches of at most so many rows and about so many bytes. Spark's defaults (10,000 rows, 64 MB)
+#: double while a batch grows, in each task and on both sides, outside the heap.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def prepare(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are no larger than BATCH."""
+    conf = df.sparkSession.conf
+    for key, most in BATCH.items():
+        now = re.sub(r"\D", "", conf.get(key))
+        if not now or int(now) > most or int(now) == 0:
+            conf.set(key, str(most))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,9 +52,16 @@ def shared_uri(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder, so that lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
+def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """Writes df to the shared checkpoint folder, so that lost executors cost no recomputation.
+
+    narrow is for tables far smaller than the shuffle they come from: they are written in an eighth as many files as a
+    shuffle has partitions, though never in fewer than two for each core.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    if narrow:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     return df.checkpoint(eager=True)
 
 

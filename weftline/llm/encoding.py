@@ -44,7 +44,7 @@ class WordEncoder:
     same ids on PROBES; all other words go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most_words: int = 250_000):
+    def __init__(self, path: str, most_words: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_crc
+from .common import id_crc, prepare
 
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
@@ -156,7 +156,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, path: str | None = None, most_rows: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns the languages of docs from at most `most_rows` of its labelled rows; one task fits one language."""
     path = path or default_vocabulary()
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    labelled = prepare(docs).filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     chosen = labelled.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h")).distinct().orderBy("h", "id").limit(most_rows).select("id")
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(chosen), "id")
     counts = rows.select("lang", "text").mapInArrow(_counter, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -210,7 +210,7 @@ def held_out(col):
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    found = docs.select(F.col(id_col).alias("doc_id"), _predictor(model)(F.col(text_col)).alias("p"))
+    found = prepare(docs).select(F.col(id_col).alias("doc_id"), _predictor(model)(F.col(text_col)).alias("p"))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "p.lang_pred", "p.score")
 
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import cut
+from .common import cut, prepare
 from .encoding import default_vocabulary, encoder
 
 BUCKETS = 16
@@ -87,7 +87,7 @@ def histogram(measured: DataFrame, finest: int = FINEST) -> tuple[np.ndarray, np
 
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, bucket (its bound), batch (its number in the bucket), slot (place in the batch) and padding of every row."""
-    measured = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_lengths(vocabulary or default_vocabulary()), "doc_id long, n_tokens long"))
+    measured = cut(prepare(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_lengths(vocabulary or default_vocabulary()), "doc_id long, n_tokens long"))
     bounds = optimal_bounds(*histogram(measured), buckets)
     if not bounds:
         return measured.select("doc_id", "n_tokens", *[F.lit(0).cast("long").alias(c) for c in ("bucket", "batch", "slot", "padding")])

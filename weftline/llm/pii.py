@@ -21,6 +21,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .common import prepare
+
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -241,7 +243,7 @@ def _finder(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base and added (arrays of kind, start, end) of every row."""
-    found = docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(_finder, SPANS)(F.col(text_col)).alias("p"))
+    found = prepare(docs).select(F.col(id_col).alias("doc_id"), F.pandas_udf(_finder, SPANS)(F.col(text_col)).alias("p"))
     return found.select("doc_id", "p.base", "p.added")
 
 
@@ -267,7 +269,7 @@ def _redactor(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with personal data replaced in the text, and the length column brought up to date if there is one."""
-    out = docs.withColumn(text_col, F.pandas_udf(_redactor, "string")(F.col(text_col)))
+    out = prepare(docs).withColumn(text_col, F.pandas_udf(_redactor, "string")(F.col(text_col)))
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return out.select(docs.columns)

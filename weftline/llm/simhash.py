@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut
+from .common import cut, prepare
 
 RADIUS = 3
 #: Blocks of the first keys: pairs agree in 3 of 6 blocks, about 32 bits, under one of 20 keys.
@@ -64,7 +64,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every row; null ids stay null."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return prepare(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 class PivotTable:
@@ -163,12 +163,12 @@ def links(prints: DataFrame, radius: int = RADIUS, most: int = MOST_IN_GROUP) ->
     """
     coarse = PivotTable(BLOCKS if radius < BLOCKS else radius + 2, BASES, radius)
     keyed = _keyed(prints, coarse)
-    sizes = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    sizes = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), narrow=True)
     found = _linked(_groups(keyed, sizes.filter(F.col("n") <= most).select("key")), coarse)
     hot = sizes.filter(F.col("n") > most).select("key")
     if hot.take(1):
         fine = PivotTable(FINE_BLOCKS, FINE_BASES, radius)
-        again = _keyed(cut(keyed.join(hot, "key", "left_semi").select("fp").distinct()), fine)
+        again = _keyed(cut(keyed.join(hot, "key", "left_semi").select("fp").distinct(), narrow=True), fine)
         shared = again.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
         found = found.unionByName(_linked(_groups(again, shared), fine))
     return found.distinct()
@@ -182,7 +182,7 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder; nothing comes to the driver but whether a round is needed.
     """
     up = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b")
-    edges = cut(up(edges).distinct())
+    edges = cut(up(edges).distinct(), narrow=True)
     while True:
         ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         if not ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up = 1 AND down = 1)").take(1):
@@ -192,7 +192,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = up(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         pointed = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = cut(up(pointed).distinct())
+        edges = cut(up(pointed).distinct(), narrow=True)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -207,10 +207,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, most: int = MOST_IN_G
     no member has another. An empty table gives no rows. Other columns are not read.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), narrow=True)
     of = components(links(classes.select("fp"), radius, most))
     rooted = classes.join(of, classes.fp == of.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    rooted = cut(rooted)
+    rooted = cut(rooted, narrow=True)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labelled = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(labelled, "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")

@@ -27,6 +27,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import prepare
+
 LEAST = 5
 COVERAGE = 0.5
 BLOCK_ITEMS = 20_000
@@ -162,7 +164,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_items: int
 
 def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST, block_items: int = BLOCK_ITEMS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """A row for each document and benchmark item it covers to `coverage` or more: doc_id, item_id, covered, item_words, coverage."""
-    rows, found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), None
+    rows, found = prepare(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), None
     for items in _blocks(benchmark, item_col, "text", block_items):
         block = rows.mapInArrow(_finder(items, coverage, least), "doc_id long, item_id long, covered long, item_words long, coverage double")
         found = block if found is None else found.unionByName(block)
@@ -193,5 +195,5 @@ def _clean(items: list[tuple[object, str | None]], coverage: float, least: int):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST, block_items: int = BLOCK_ITEMS, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """docs without the rows that cover a benchmark item to `coverage` or more; all columns stay, nothing is shuffled."""
     for items in _blocks(benchmark, item_col, "text", block_items):
-        docs = docs.filter(_clean(items, coverage, least)(F.col(text_col)))
+        docs = prepare(docs).filter(_clean(items, coverage, least)(F.col(text_col)))
     return docs

@@ -30,7 +30,7 @@ import xxhash
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, prepare
 from .encoding import default_vocabulary, encoder
 
 #: Keys in an index partition, on average; an index task holds so many slots in memory.
@@ -160,7 +160,7 @@ def write_store(docs: DataFrame, uri: str, vocabulary: str | None = None, end_id
     vocabulary = vocabulary or default_vocabulary()
     files, base = _open(uri)
     files.create_dir(base, recursive=True)
-    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
+    rows = prepare(docs).select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("key").sortWithinPartitions("key").withColumn("shard", F.spark_partition_id())
     meta = cut(rows.mapInArrow(_shard_writer(uri, vocabulary, end_id), META))
     totals = {r["shard"]: (r["docs"], r["ids"]) for r in meta.groupBy("shard").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("ids")).collect()}

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, id_crc
+from .common import cut, id_crc, prepare
 
 PLACES = 1 << 18
 TERM = re.compile(r"[^\W\d_]+")
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits a machine on the labelled rows given. Sent to the driver: at most `kept` places and `most_rows` short rows."""
     chosen = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id", "toxic").limit(most_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = prepare(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     placed = cut(rows.select("toxic", "text").mapInArrow(_placed, "toxic int, ord long, places array<int>"))
     toxic, all_rows = placed.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     toxic, clean = toxic or 0, all_rows - (toxic or 0)
@@ -167,7 +167,7 @@ def _scorer(machine: Machine):
 
 def score_texts(docs: DataFrame, machine: Machine, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """docs with a score from 0 to 1; all columns stay."""
-    return docs.withColumn(out_col, _scorer(machine)(F.col(text_col)))
+    return prepare(docs).withColumn(out_col, _scorer(machine)(F.col(text_col)))
 
 
 def in_fold(col, fold: int = 5):
