@@ -109,18 +109,27 @@ def test_chats(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_parts_read_again(spark):
+    df = spark.createDataFrame([(c, i, "user", f"{c}.{i}") for c in (1, 2) for i in range(30)], "conv_id long, turn long, role string, text string")
+    parts = chat.format_chats(df, window=8).cache()
+    assert sorted((r["conv_id"], r["part"]) for r in parts.collect()) == [(c, k) for c in (1, 2) for k in range(4)]
+    got = {r["conv_id"]: r["turns_sha256"] for r in chat.digests(chat.in_order(parts.repartition(5))).collect()}
+    assert got == {c: sha(f"user\n{c}.{i}\n" for i in range(30)) for c in (1, 2)}
+
+
 def test_black_box_templates():
     turns = [("user", "hi"), ("assistant", "yo [x]"), ("user", "more"), ("assistant", "end")]
     start = lambda ts: "<s>" + "".join(f"[{r}] {t} |" + ("</s>" if r == "assistant" else "") for r, t in ts)
-    text, spans, rewrites = chat.render(turns, start)
-    assert text == start(turns) and not rewrites and [text[b:c] for _, b, c, _ in spans] == [t for _, t in turns]
-    assert spans[0][0] == 3 and all(a[3] == b[0] for a, b in zip(spans, spans[1:]))
+    [(text, spans, rewrites)] = chat.render_parts(turns, start)
+    assert text == start(turns) and not rewrites and [text[b:c] for _, _, b, c, _ in spans] == [t for _, t in turns]
+    assert spans[0][1] == 3 and all(a[4] == b[1] for a, b in zip(spans, spans[1:]))
     upper = lambda ts: "".join(t.upper() if i < len(ts) - 1 else t for i, (_, t) in enumerate(ts))
-    assert chat.render(turns, upper) == (upper(turns), [], True)
+    assert list(chat.render_parts(turns, upper)) == [(upper(turns), [], True)]
     many = [("user", f"m{i}") for i in range(50)]
     for window in (4, 7, 256):
-        text, spans, _ = chat.render(many, chat.chatml, window)
-        assert text == chat.chatml(many) and [text[b:c] for _, b, c, _ in spans] == [t for _, t in many]
+        parts = list(chat.render_parts(many, chat.chatml, window))
+        assert "".join(p[0] for p in parts) == chat.chatml(many) and len(parts) == -(-50 // window)
+        assert [text[b:c] for text, spans, _ in parts for _, _, b, c, _ in spans] == [t for _, t in many]
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")

@@ -2,16 +2,18 @@
 
 A template is any function from a list of turns (role, text) to a string. Where a turn lies in its output is found from
 outside: the template renders the turns one more at a time, and the part by which an output grows is the new turn's span.
-An output that does not begin with the one before shows a template that rewrites history; its turns get no spans. Inside
+An output that does not begin with the one before shows a template that rewrites history; from there on turns get no spans. Inside
 a turn's span the text's place is found the same way, by rendering the turn with two probe texts that share no character
 at either end: what both outputs begin and end with is the header and the footer.
 
 The template of the query marks turns in the style of ChatML and escapes control strings inside texts reversibly: between
 `<` and `|` one backslash more is written than is there. Roles are escaped further so that they hold no line end.
 
-Conversations are read in order out of sorted partitions, one turn after the other. Prefixes are rendered over at most
-`window` turns: after so many, the turns before the last half window are put aside and the spans go on from there. A
-template may therefore depend on no more than half a window of earlier turns; up to `window` turns it may depend on all.
+Conversations are read in order out of sorted partitions, one turn after the other, so that one of any length takes no
+more memory than `window` turns: it is written in parts of as many turns each. Prefixes are rendered over at most
+`window` turns as well: after so many, the turns before the last half window are put aside and the spans go on from
+there. A template may therefore depend on no more than half a window of earlier turns; up to `window` turns it may
+depend on all.
 
 Defined cases: null text and null role are empty; a null turn number comes first, a null conversation is one of its own;
 rows that repeat (conversation, turn) are ordered by role and text; an empty table gives no rows. Other columns are not
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
 import pandas as pd
@@ -70,60 +72,107 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def render(turns: list[Turn], template: Template = chatml, window: int = WINDOW) -> tuple[str, list[tuple[int, int, int, int]], bool]:
-    """The formatted conversation, a span (start, text start, text end, end) for each turn, and whether history is rewritten.
+class Rendering:
+    """Renders turns one after the other; `rewrites` is true from the first output that does not begin with the one before."""
 
-    A template that rewrites history gives its rendering of all turns and no spans.
+    def __init__(self, template: Template = chatml, window: int = WINDOW):
+        self.template, self.window, self.rewrites = template, window, False
+        self._seen: list[Turn] = []
+        self._before = self.start = template([])
+
+    def add(self, turn: Turn) -> tuple[str, int, int] | None:
+        """What the output grows by, and where in it the turn's text starts and ends; None if history is rewritten."""
+        template = self.template
+        if len(self._seen) >= self.window:
+            self._seen = self._seen[-(self.window // 2) :]
+            self._before = template(self._seen)
+        before, after = self._before, template([*self._seen, turn])
+        if self.rewrites or not after.startswith(before):
+            self.rewrites = True
+            return None
+        a, b = (template([*self._seen, (turn[0], p)]) for p in PROBES)
+        head, tail = _common(a, b), _common(a[::-1], b[::-1])
+        self._seen.append(turn)
+        self._before = after
+        return after[len(before) :], head - len(before), len(after) - len(before) - tail
+
+
+Part = tuple[str, list[tuple[str, int, int, int, int]], bool]
+
+
+def render_parts(turns: Iterable[Turn], template: Template = chatml, window: int = WINDOW) -> Iterator[Part]:
+    """(formatted, spans, rewrites) of each `window` turns; a span is (role, start, text start, text end, end) in its part.
+
+    What the template writes before any turn belongs to the first part. A part in which history is rewritten, and every
+    part after it, holds the template's output for its own turns and no spans.
     """
-    spans: list[tuple[int, int, int, int]] = []
-    seen: list[Turn] = []
-    before, base, parts = template([]), 0, []
-    first = before
-    for turn in turns:
-        if len(seen) >= window:
-            seen = seen[-(window // 2) :]
-            moved = template(seen)
-            base += len(before) - len(moved)
-            before = moved
-        after = template([*seen, turn])
-        if not after.startswith(before):
-            return template(turns), [], True
-        a, b = (template([*seen, (turn[0], p)]) for p in PROBES)
-        head = _common(a, b)
-        tail = _common(a[::-1], b[::-1])
-        spans.append((base + len(before), base + head, base + len(after) - tail, base + len(after)))
-        parts.append(after[len(before) :])
-        seen.append(turn)
-        before = after
-    return first + "".join(parts), spans, False
-
-
-def _conversations(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, list[Turn]]]:
-    """One conversation at a time out of rows sorted by conversation."""
+    rendering, out, spans, at, own = Rendering(template, window), [], [], 0, []
+    out.append(rendering.start)
+    at = len(rendering.start)
+    for n, turn in enumerate(turns):
+        if n and n % window == 0:
+            yield (template(own), [], True) if rendering.rewrites else ("".join(out), spans, False)
+            out, spans, at, own = [], [], 0, []
+        own.append(turn)
+        grown = rendering.add(turn)
+        if grown is not None:
+            text, head, tail = grown
+            out.append(text)
+            spans.append((turn[0], at, at + head, at + tail, at + len(text)))
+            at += len(text)
+    yield (template(own), [], True) if rendering.rewrites else ("".join(out), spans, False)
+
+
+def _conversations(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, Iterator[Turn]]]:
+    """One conversation at a time out of rows sorted by conversation, read turn by turn."""
     rows = ((c, r or "", t or "") for pdf in batches for c, r, t in pdf[["conv", "role", "text"]].itertuples(index=False))
     for conv, own in groupby(rows, key=lambda x: x[0]):
-        yield conv, [(r, t) for _, r, t in own]
+        yield conv, ((r, t) for _, r, t in own)
+
+
+FORMATTED = "conv string, part int, formatted string, spans array<struct<role:string,start:long,text_start:long,text_end:long,end:long>>, rewrites boolean"
 
 
-FORMATTED = "conv string, formatted string, spans array<struct<role:string,start:long,text_start:long,text_end:long,end:long>>, rewrites boolean"
+def _in_frames(rows: Iterator[tuple], columns: list[str], most_rows: int = 256, most_chars: int = 1 << 22) -> Iterator[pd.DataFrame]:
+    """Rows in frames of bounded size; the size of a row is the length of its texts."""
+    held, chars = [], 0
+    for row in rows:
+        held.append(row)
+        chars += sum(len(x) for x in row if isinstance(x, str))
+        if len(held) >= most_rows or chars >= most_chars:
+            yield pd.DataFrame(held, columns=columns)
+            held, chars = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
 
 
 def _formatter(template: Template, window: int):
-    def form(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        names = ("role", "start", "text_start", "text_end", "end")
         for conv, turns in _conversations(batches):
-            text, spans, rewrites = render(turns, template, window)
-            named = [{"role": role, "start": a, "text_start": b, "text_end": c, "end": d} for (role, _), (a, b, c, d) in zip(turns, spans)]
-            yield pd.DataFrame({"conv": [conv], "formatted": [text], "spans": [named], "rewrites": [rewrites]})
+            for part, (text, spans, rewrites) in enumerate(render_parts(turns, template, window)):
+                yield conv, part, text, [dict(zip(names, x)) for x in spans], rewrites
+
+    def form(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _in_frames(parts(batches), ["conv", "part", "formatted", "spans", "rewrites"])
 
     return form
 
 
 def format_chats(conversations: DataFrame, template: Template = chatml, window: int = WINDOW, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, formatted, spans and rewrites of every conversation; the loss mask of a role are its text spans."""
+    """conv_id, part, formatted, spans and rewrites; the loss mask of a role are its text spans.
+
+    A conversation's parts come one after the other in one partition. Most conversations have one part.
+    """
     rows = prepare(conversations).select(F.col(conv_col).cast("string").alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     ordered = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
     formatted = ordered.select("conv", "role", "text").mapInPandas(_formatter(template, window), FORMATTED)
-    return formatted.withColumn("conv_id", F.col("conv").cast("long")).select("conv_id", "formatted", "spans", "rewrites")
+    return formatted.withColumn("conv_id", F.col("conv").cast("long")).select("conv_id", "part", "formatted", "spans", "rewrites")
+
+
+def in_order(formatted: DataFrame) -> DataFrame:
+    """Formatted parts that were written and read again, as `digests` needs them."""
+    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part")
 
 
 def read_back(formatted: str) -> list[Turn]:
@@ -135,19 +184,32 @@ def read_back(formatted: str) -> list[Turn]:
     return out
 
 
+def _digested(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    rows = (row for pdf in batches for row in pdf[["conv", "formatted", "spans"]].itertuples(index=False))
+    for conv, parts in groupby(rows, key=lambda x: x[0]):
+        turns_sha, loss_sha, n_turns, loss_chars, chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+        for _, text, spans in parts:
+            for role, said in read_back(text):
+                n_turns += 1
+                turns_sha.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+            for s in spans:
+                if s["role"] == "assistant":
+                    said = unescape(text[s["text_start"] : s["text_end"]])
+                    loss_chars += len(said)
+                    loss_sha.update(said.encode("utf-8", "surrogatepass"))
+            chars += len(text)
+        yield conv, n_turns, turns_sha.hexdigest(), loss_chars, loss_sha.hexdigest(), chars
+
+
 def _digester(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sha = lambda parts: hashlib.sha256("".join(parts).encode("utf-8", "surrogatepass")).hexdigest()
-    for pdf in batches:
-        rows = []
-        for conv, text, spans in pdf[["conv", "formatted", "spans"]].itertuples(index=False):
-            turns = read_back(text)
-            loss = [unescape(text[s["text_start"] : s["text_end"]]) for s in spans if s["role"] == "assistant"]
-            rows.append((conv, len(turns), sha(f"{r}\n{t}\n" for r, t in turns), sum(map(len, loss)), sha(loss), len(text)))
-        yield pd.DataFrame(rows, columns=["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+    return _in_frames(_digested(batches), ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What the formatted strings and their spans hold: turns out of the marks, loss text out of the spans."""
+    """What the formatted strings and their spans hold: turns out of the marks, loss text out of the spans.
+
+    A conversation's parts must follow each other in one partition, as format_chats gives them.
+    """
     read = formatted.select(F.col("conv_id").cast("string").alias("conv"), "formatted", "spans")
     out = read.mapInPandas(_digester, "conv string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return out.select(F.col("conv").cast("long").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
