@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from weftline.operators import evaluate
 from weftline.operators.embed import HashingProvider
-from weftline.operators.route import Registry
-from weftline.plans import session
+from weftline.operators.route import Registry, route, route_rows
+from weftline.plans import report, session
 from weftline.streaming import session as stream
 
 TURNS = [(1, 0, "Open the DOOR"), (1, 1, "  "), (1, 2, "tell me more"), (1, 3, "open door"), (1, 4, "and then"), (1, 5, " QuIt "), (1, 6, "late"), (2, 0, "hello there")]
@@ -67,6 +67,48 @@ def test_stream_gives_the_histories_of_the_batch(spark, tmp_path):
     assert got == {(1, 0): [], (1, 2): ["open the door"], (1, 3): ["open the door", "tell me more"], (1, 4): ["tell me more", "open door"], (2, 0): []}
 
 
+def test_stream_with_routes_equals_the_batch(spark, tmp_path):
+    turns, registry, provider, batch = replayed(spark, 3)
+    turns.coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = []
+    source = spark.readStream.schema(turns.schema).parquet(str(tmp_path / "in"))
+    stream.start(source, lambda df, _: seen.extend(df.collect()), str(tmp_path / "ck"), history_limit=3, registry=registry, provider=provider, system="sys").awaitTermination()
+    got = {(r["conv_id"], r["turn"]): r for r in seen}
+    assert set(got) == set(batch)
+    for k, r in got.items():
+        assert (r["action"], r["history"], r["payload"]) == (batch[k]["action"], batch[k]["history"], batch[k]["payload"])
+
+
+def test_routing_rows_equals_routing_tables(spark):
+    rnd = random.Random(11)
+    words = ["open", "door", "the", "please", "light", "play", "music", "now"]
+    texts = ["", None, *(" ".join(rnd.choice(words) for _ in range(rnd.choice([1, 2, 3, 6, 20]))) for _ in range(80))]
+    provider = HashingProvider(16)
+    registry = Registry.of(spark.createDataFrame([(0, "A", "open door"), (1, "B", "play music"), (2, "A", "light now")], "reg_ord int, name string, example string"), provider)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, sanitized string")
+    show = lambda d: {r["i"]: r["route"] for r in d.collect()}
+    assert show(route_rows(df, registry, provider)) == show(route(df, registry, provider))
+
+
+def test_report(spark, tmp_path):
+    runs = spark.createDataFrame([(f"p{i}", u) for i in range(4) for u in (100, 200 + i, 300)], "input string, us long")
+    times = report.timings(runs)
+    assert {r["input"]: (r["p50_us"], r["max_us"]) for r in times.collect()}["p1"] == (201.0, 300.0)
+    routed = spark.createDataFrame([("direct_command", "p0", "open it", "A", ("A", 0.9)), ("no_match", "p1", "x y z", "", None), ("odd", "p2", "x", "A", ("B", 0.8)), ("no_match", "p3", "", "", ("A", 0.7))], "category string, input string, sanitized string, expected_intent string, route struct<intent_name:string,score:double>")
+    found = report.results(routed, times)
+    assert {r["input"]: r["correct"] for r in found.collect()} == {"p0": True, "p1": True, "p2": False, "p3": False}
+    similarity = spark.createDataFrame([("p0", "A", "A", 0.9, {"A": 0.9, "B": 0.1}), ("zz", "", "B", 0.3, {"A": 0.2, "B": 0.3})], "input string, expected_intent string, best_intent string, best_score double, scores map<string,double>")
+    matrix = spark.createDataFrame([("ACTION_A", "ACTION_A", 1.0)], "i string, j string, score double")
+    timed = times.withColumn("word_count", F.lit(2))
+    data = report.charts(found, similarity, matrix, timed, timed.withColumn("token_count", F.lit(4)), 0.65)
+    rows = {k: df.collect() for k, df in data.items()}
+    assert [r["category"] for r in sorted(rows["accuracy_by_category"], key=lambda r: r["place"])] == ["direct_command", "no_match"]
+    assert {r["category"] for r in rows["score_distribution"]} == {"direct_command", "unknown"} and rows["similarity_matrix"][0]["i"] == "A"
+    assert len(rows["threshold_sweep"]) == 28 and rows["summary"][0]["total"] == 4
+    report.run_all(data, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report/threshold_sweep")).count() == 28
+
+
 def test_by_index(spark):
     rows = [("a", float(x)) for x in range(10)] + [("b", 3.0), ("c", 1.0), ("c", 2.0)]
     got = {r["k"]: r for r in evaluate.latency_stats(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}

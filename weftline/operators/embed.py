@@ -1,6 +1,7 @@
 """Embedding providers: each adds a vector to a table of distinct phrases.
 
-A provider has `embed(phrases)` taking a DataFrame with a `phrase` column and returning phrase, embedding.
+A provider has `embed(phrases)` taking a DataFrame with a `phrase` column and returning phrase, embedding. One that
+computes its vectors also has `worker()`, a function of texts for use inside Python workers.
 """
 
 from __future__ import annotations
@@ -20,33 +21,41 @@ def bucket_of(word: str, size: int) -> int:
     return int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % size
 
 
+def _embedded(provider, phrases: DataFrame) -> DataFrame:
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        work = provider.worker()
+        for texts in batches:
+            yield pd.Series(list(work(texts.tolist())), dtype="object") if len(texts) else pd.Series([], dtype="object")
+
+    return phrases.select("phrase").withColumn("embedding", F.pandas_udf(vectors, "array<float>")("phrase"))
+
+
 class HashingProvider:
     """Counts of words by md5 bucket. The counts are whole numbers, so that cosines are the same in every engine."""
 
     def __init__(self, size: int = 64):
         self.size = size
 
+    def worker(self) -> Callable[[list[str]], np.ndarray]:
+        """A function of texts for one Python worker, which remembers the buckets of words up to a bound."""
+        size, known, table = self.size, {}, str.maketrans(WHITE, " " * len(WHITE))
+
+        def vectors(texts: list[str]) -> np.ndarray:
+            if len(known) > MOST_KNOWN_WORDS:
+                known.clear()
+            out = np.zeros((len(texts), size), "f4")
+            for v, text in zip(out, texts):
+                for w in (text or "").translate(table).split(" "):
+                    if w:
+                        if w not in known:
+                            known[w] = bucket_of(w, size)
+                        v[known[w]] += 1
+            return out
+
+        return vectors
+
     def embed(self, phrases: DataFrame) -> DataFrame:
-        size = self.size
-
-        def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            known: dict[str, int] = {}
-            table = str.maketrans(WHITE, " " * len(WHITE))
-            for texts in batches:
-                out = []
-                if len(known) > MOST_KNOWN_WORDS:
-                    known.clear()
-                for text in texts:
-                    v = np.zeros(size, "f4")
-                    for w in (text or "").translate(table).split(" "):
-                        if w:
-                            if w not in known:
-                                known[w] = bucket_of(w, size)
-                            v[known[w]] += 1
-                    out.append(v)
-                yield pd.Series(out)
-
-        return phrases.select("phrase").withColumn("embedding", F.pandas_udf(vectors, "array<float>")("phrase"))
+        return _embedded(self, phrases)
 
 
 class PrecomputedProvider:
@@ -92,12 +101,9 @@ class OnnxProvider:
         norm = np.sqrt((pooled * pooled).sum(dtype="f4"))
         return pooled / norm if norm else pooled
 
-    def embed(self, phrases: DataFrame) -> DataFrame:
-        provider = self
-
-        def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            session = provider._open()
-            for texts in batches:
-                yield pd.Series([provider.vector(session, t or "") for t in texts])
+    def worker(self) -> Callable[[list[str]], np.ndarray]:
+        session = self._open()
+        return lambda texts: np.stack([self.vector(session, t or "") for t in texts])
 
-        return phrases.select("phrase").withColumn("embedding", F.pandas_udf(vectors, "array<float>")("phrase"))
+    def embed(self, phrases: DataFrame) -> DataFrame:
+        return _embedded(self, phrases)

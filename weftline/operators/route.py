@@ -147,3 +147,50 @@ def route(df: DataFrame, registry: Registry, provider, threshold: float = THRESH
     hits = tried.join(scored, "phrase").groupBy("full").agg(F.min_by(F.struct(F.col("best.intent").alias("intent_name"), score.alias("score"), F.col("ord").cast("int").alias("ord")), "ord").alias("route"))
     routes = decided.unionByName(hits)
     return df.join(routes.withColumnRenamed("full", "__full"), F.col(text_col) == F.col("__full"), "left").drop("__full").withColumn("route", F.col("route").cast(kind))
+
+
+def route_rows(df: DataFrame, registry: Registry, provider, threshold: float = THRESHOLD, text_col: str = "sanitized") -> DataFrame:
+    """The same as `route` without joins or shuffles, for streams: each batch of rows is routed inside a Python worker.
+
+    Full texts of a batch are scored together, then the further phrases of those that are still open.
+    """
+    _check(threshold)
+    kind = "intent_name string, score double, ord int"
+    if provider is None or not registry.rows:
+        return df.withColumn("route", F.lit(None).cast(f"struct<{kind.replace(' ', ':').replace(',:', ',')}>"))
+    names, matrix = [r[0] for r in registry.rows], registry.matrix()
+
+    def routed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        work = provider.worker()
+
+        def best(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            s = similarities(np.asarray(work(texts), "f8"), matrix)
+            s = np.where(np.isnan(s), -np.inf, s)
+            at = s.argmax(axis=1)
+            return at, s[np.arange(len(texts)), at]
+
+        for lists in batches:
+            out: list[tuple] = [(None, None, None)] * len(lists)
+            there = [i for i, x in enumerate(lists) if x is not None and len(x)]
+            if there:
+                at, top = best([lists.iloc[i][0] for i in there])
+                still = []
+                for i, k, x in zip(there, at, top):
+                    if x >= threshold:
+                        out[i] = (names[k], float(x), 0)
+                    elif x >= EARLY_EXIT and len(lists.iloc[i]) > 1:
+                        still.append(i)
+                if still:
+                    phrases = list(dict.fromkeys(p for i in still for p in lists.iloc[i][1:]))
+                    at, top = best(phrases)
+                    found = {p: (names[k], float(x)) for p, k, x in zip(phrases, at, top) if x >= threshold}
+                    for i in still:
+                        hit = next(((*found[p], n) for n, p in enumerate(lists.iloc[i]) if n and p in found), None)
+                        out[i] = hit or out[i]
+            yield pd.DataFrame(out, columns=["intent_name", "score", "ord"]).astype({"ord": "Int32"})
+
+    # The generator of one row keeps the phrases' lambda functions out of the arguments of the Python function, where Spark
+    # can't evaluate them.
+    listed = df.select("*", F.explode(F.array(F.when(F.col(text_col).isNotNull(), T.phrases(F.col(text_col))))).alias("__phrases"))
+    found = listed.withColumn("route", F.pandas_udf(routed, kind)("__phrases")).drop("__phrases")
+    return found.withColumn("route", F.when(F.col("route.intent_name").isNotNull(), F.col("route")))
