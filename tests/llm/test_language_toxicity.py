@@ -26,6 +26,7 @@ def test_forward_sums_all_segmentations():
     for word in ["a", "ab", "abab", "abcab", "bbab", "ccc"]:
         wanted = [math.log(sum(math.exp(sum(row[PIECES.get(p, -1)] for p in cut)) for cut in segmentations("▁" + word))) for row in logp]
         assert langid.forward(word, logp, PIECES, 3) == pytest.approx(wanted)
+        assert langid.forward_many([word, word[::-1]], langid.scaled(logp, PIECES), PIECES, 3)[0] == pytest.approx(wanted)
 
 
 def test_estimate_is_expectation_maximisation():

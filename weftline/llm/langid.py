@@ -168,38 +168,96 @@ def train(docs: DataFrame, path: str | None = None, most_rows: int = MOST_ROWS,
     return Model(langs, prior, logp, path)
 
 
+@lru_cache(maxsize=LONGEST_KNOWN + 2)
+def _arcs_of(n: int, longest: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """(start, end) of all stretches of a marked word of n characters, by end; and where those of each end begin."""
+    spans, begins = [], [0]
+    for end in range(1, n + 1):
+        spans += [(start, end) for start in range(max(0, end - longest), end)]
+        begins.append(len(spans))
+    return spans, begins
+
+
+#: Every character's factor is raised by exp(SCALE), so that products over words of up to LONGEST_KNOWN letters stay in range.
+SCALE = 9.0
+
+
+def scaled(logp: np.ndarray, pieces: dict[str, int]) -> np.ndarray:
+    """Raised probabilities with a row for each piece, the floor and, last, a zero for stretches that are no piece."""
+    sizes = np.array([*map(len, pieces), 1])
+    return np.vstack([np.exp(logp.T + SCALE * sizes[:, None]), np.zeros((1, len(logp)))])
+
+
+def forward_many(words: list[str], table: np.ndarray, pieces: dict[str, int], longest: int) -> np.ndarray:
+    """`forward` of words of one length: all of them move through the positions together. A row for each word."""
+    n = len(words[0]) + 1
+    spans, begins = _arcs_of(n, longest)
+    floor, never = len(table) - 2, len(table) - 1
+    arcs = [(a, b, floor if b - a == 1 else never) for a, b in spans]
+    get = pieces.get
+    ids = np.array([[get(s[a:b], none) for a, b, none in arcs] for s in [MARK + w for w in words]], "i4")
+    sums = np.zeros((len(words), n + 1, table.shape[1]))
+    sums[:, 0] = 1.0
+    for end in range(1, n + 1):
+        first = spans[begins[end - 1]][0]
+        sums[:, end] = np.einsum("wsl,wsl->wl", sums[:, first:end], table[ids[:, begins[end - 1] : begins[end]]])
+    return np.log(sums[:, n]) - SCALE * n
+
+
 class Scorer:
-    """Predicts with a model; likelihoods of words are remembered up to a bound."""
+    """Predicts with a model. Likelihoods of words are kept in a matrix with a row for each word, up to a bound."""
 
     def __init__(self, model: Model):
-        self.model, self._known = model, {}
+        self.model = model
         self.pieces, self.longest = vocabulary(model.path)
-
-    def _word(self, w: str) -> np.ndarray:
-        found = forward(w, self.model.logp, self.pieces, self.longest)
-        if len(w) <= LONGEST_KNOWN:
-            self._known[w] = found
-        return found
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        own = words(text)
-        if not own or not self.model.langs:
-            return "und", 0.0
-        if len(self._known) > MOST_KNOWN:
-            self._known.clear()
-        total, known = self.model.prior.copy(), self._known
-        for w, n in Counter(own).items():
-            found = known.get(w)
-            total += n * (self._word(w) if found is None else found)
-        best = int(total.argmax())
-        return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
+        self._table = scaled(model.logp, self.pieces)
+        self._forget()
+
+    def _forget(self) -> None:
+        self._at: dict[str, int] = {}
+        self._rows = np.zeros((1024, len(self.model.langs)))
+
+    def _learn(self, words: set[str]) -> None:
+        by_length: dict[int, list[str]] = {}
+        for w in words:
+            by_length.setdefault(len(w), []).append(w)
+        need = len(self._at) + len(words)
+        if need > len(self._rows):
+            self._rows = np.vstack([self._rows, np.zeros((max(need, 2 * len(self._rows)) - len(self._rows), self._rows.shape[1]))])
+        for n, own in by_length.items():
+            for at in range(0, len(own), 512):
+                block = own[at : at + 512]
+                found = [forward(w, self.model.logp, self.pieces, self.longest) for w in block] if n > LONGEST_KNOWN else forward_many(block, self._table, self.pieces, self.longest)
+                start = len(self._at)
+                self._rows[start : start + len(block)] = found
+                self._at.update(zip(block, range(start, start + len(block))))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        own = [words(t) for t in texts]
+        if not self.model.langs:
+            return [("und", 0.0)] * len(own)
+        if len(self._at) > MOST_KNOWN:
+            self._forget()
+        new = set().union(*own).difference(self._at)
+        if new:
+            self._learn(new)
+        out = []
+        for found in own:
+            if not found:
+                out.append(("und", 0.0))
+                continue
+            total = self.model.prior + self._rows[np.fromiter(map(self._at.__getitem__, found), "i8", len(found))].sum(axis=0)
+            best = int(total.argmax())
+            out.append((self.model.langs[best], float(1 / np.exp(total - total[best]).sum())))
+        return out
 
 
 def _predictor(model: Model):
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)
         for texts in batches:
-            yield pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang_pred", "score"])
+            rows = [scorer.predict(texts.iloc[at : at + 50].tolist()) for at in range(0, len(texts), 50)]
+            yield pd.DataFrame([x for r in rows for x in r], columns=["lang_pred", "score"])
 
     return F.pandas_udf(predict, "lang_pred string, score double")
 
