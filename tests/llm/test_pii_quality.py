@@ -54,6 +54,7 @@ DISGUISED = [
     ("x jоhn@exаmple.com y", "email", "jоhn@exаmple.com"), ("a bob[@]example[.]org.", "email", "bob[@]example[.]org"), ("mail bo​b@example.com", "email", None),
     ("call plus one five five five two three four five six seven now", "phone", "plus one five five five two three four five six seven"), ("tel ＋1 (555) 123-4567 x", "phone", "＋1 (555) 123-4567"),
     ("4OI2 8888 8888 1881", "card", "4OI2 8888 8888 1881"), ("10[.]0[.]0[.]1", "ip", "10[.]0[.]0[.]1"), ("ip 10 dot 1 dot 2 dot 3!", "ip", "10 dot 1 dot 2 dot 3"), ("ana arroba ejemplo punto es", "email", "ana arroba ejemplo punto es"),
+    ("ring +1 five five five 123 4567 now", "phone", "+1 five five five 123 4567"), ("más uno dos tres cuatro cinco seis siete ocho nueve cero uno", "phone", "más uno dos tres cuatro cinco seis siete ocho nueve cero uno"),
     ("vier eins eins eins, eins eins eins eins, eins eins eins eins, eins eins eins eins", None, None),
 ]
 

@@ -164,3 +164,46 @@ class TestQueries:
             docs = after
         rows = p.run(spark, SMALL).collect()
         assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+
+    def test_pipeline_against_plain_loops(self, spark):
+        """Every stage done once more without Spark, with the same trained machine."""
+        import corpus_pipeline as p
+        from tests.llm.test_simhash_tiling import plain_components, plain_fingerprint
+        from tokenizers import Tokenizer
+        from weftline.llm import encoding, packing, pii, tiling, toxicity
+
+        docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+        labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+        rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+        machine = toxicity.train(docs, labels.filter(~toxicity.in_fold(labels["doc_id"])))
+
+        def score(text):
+            places = {q for w in set(toxicity.TERM.findall(text.lower())) for q in toxicity.places_of_word(w)}
+            x = sorted(machine.at[q] for q in places if q in machine.at)
+            pairs = sum(float(machine.v[a] @ machine.v[b]) for i, a in enumerate(x) for b in x[:i])
+            return machine.w0 + sum(float(machine.w[a]) for a in x) + pairs
+
+        rows = {i: t for i, t in rows.items() if score(t) < 0}
+        ids = sorted(rows)
+        rows = {i: rows[i] for i in {ids[c] for c in plain_components([plain_fingerprint(rows[i]) for i in ids])}}
+        items = [tiling.words(r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+
+        def grams(w):
+            return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+        def leaks(text):
+            own = tiling.words(text)
+            seen, number = grams(own), {}
+            code = lambda w: [number.setdefault(x, len(number)) for x in w]
+            return any(seen & grams(item) and sum(t[2] for t in tiling.tiles(code(own), code(item))) >= 0.5 * len(item) for item in items)
+
+        rows = {i: pii.redacted(t) for i, t in rows.items() if not leaks(t)}
+        whole = Tokenizer.from_file(encoding.default_vocabulary())
+        sizes = {i: len(whole.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows.items()}
+        found = p.run(spark, SMALL).collect()
+        assert {r["doc_id"]: r["n_tokens"] for r in found} == sizes and len(found) == len(sizes)
+        import numpy as np
+
+        n, c = np.unique(list(sizes.values()), return_counts=True)
+        bounds = packing.optimal_bounds(n, c)
+        assert {r["doc_id"]: r["bucket"] for r in found} == {i: min(b for b in bounds if b >= x) for i, x in sizes.items()}
