@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import evaluate
 from weftline.operators.embed import HashingProvider
-from weftline.operators.route import Registry, route, route_rows
+from weftline.operators.route import Registry, route_rows, route_tables
 from weftline.plans import report, session
 from weftline.streaming import session as stream
 
@@ -87,7 +87,7 @@ def test_routing_rows_equals_routing_tables(spark):
     registry = Registry.of(spark.createDataFrame([(0, "A", "open door"), (1, "B", "play music"), (2, "A", "light now")], "reg_ord int, name string, example string"), provider)
     df = spark.createDataFrame(list(enumerate(texts)), "i int, sanitized string")
     show = lambda d: {r["i"]: r["route"] for r in d.collect()}
-    assert show(route_rows(df, registry, provider)) == show(route(df, registry, provider))
+    assert show(route_rows(df, registry, provider)) == show(route_tables(df, registry, provider))
 
 
 def test_report(spark, tmp_path):

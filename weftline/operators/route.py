@@ -4,9 +4,9 @@ A text's candidate phrases are tried in order; the first whose best intent reach
 text, a best score under EARLY_EXIT ends the search. Everything before the deciding phrase is under the threshold, so
 its own best intent is the answer, and the search becomes an aggregate: the smallest order that reaches it.
 
-Shape of the plan: distinct texts are embedded and scored; only those between the two limits go on to a second stage,
-which explodes their phrases (15 at most) and scores each distinct phrase once. The registry, a bounded set of
-vectors, goes to the tasks as one matrix, and a batch of phrases is scored by one product: no join with the registry.
+The short cuts of the search stay: full texts are scored first, and only those between the two limits have their further
+phrases scored. The registry, a bounded set of vectors, goes to the tasks as one matrix, and a batch of phrases is
+scored by one product: no join with the registry.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ EARLY_EXIT = 0.35
 THRESHOLD = 0.65
 #: Registered examples; the registry is sent to every task.
 MOST_EXAMPLES = 100_000
+ROUTE = "intent_name: string, score: double, ord: int"
 
 
 class Registry:
@@ -134,9 +135,18 @@ def route(df: DataFrame, registry: Registry, provider, threshold: float = THRESH
     embeds nothing.
     """
     _check(threshold)
-    kind = "struct<intent_name:string,score:double,ord:int>"
     if provider is None or not registry.rows:
-        return df.withColumn("route", F.lit(None).cast(kind))
+        return df.withColumn("route", F.lit(None).cast(f"struct<{ROUTE}>"))
+    return (route_rows if hasattr(provider, "worker") else route_tables)(df, registry, provider, threshold, text_col)
+
+
+def route_tables(df: DataFrame, registry: Registry, provider, threshold: float = THRESHOLD, text_col: str = "sanitized") -> DataFrame:
+    """`route` for a provider that looks vectors up in a table: every distinct phrase is looked up and scored once.
+
+    Distinct texts are scored first; only those between the two limits are exploded into their phrases (15 at most).
+    """
+    _check(threshold)
+    kind = f"struct<{ROUTE}>"
     texts = df.select(F.col(text_col).alias("phrase")).filter("phrase IS NOT NULL").distinct()
     first = score_vectors(provider.embed(texts), registry).select(F.col("phrase").alias("full"), "best")
     score = F.col("best.score")
@@ -150,14 +160,11 @@ def route(df: DataFrame, registry: Registry, provider, threshold: float = THRESH
 
 
 def route_rows(df: DataFrame, registry: Registry, provider, threshold: float = THRESHOLD, text_col: str = "sanitized") -> DataFrame:
-    """The same as `route` without joins or shuffles, for streams: each batch of rows is routed inside a Python worker.
+    """`route` for a provider that computes vectors: no join and no shuffle, so that it also runs on streams.
 
-    Full texts of a batch are scored together, then the further phrases of those that are still open.
+    The full texts of a batch are scored together, then the distinct further phrases of those that are still open.
     """
     _check(threshold)
-    kind = "intent_name string, score double, ord int"
-    if provider is None or not registry.rows:
-        return df.withColumn("route", F.lit(None).cast(f"struct<{kind.replace(' ', ':').replace(',:', ',')}>"))
     names, matrix = [r[0] for r in registry.rows], registry.matrix()
 
     def routed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -192,5 +199,5 @@ def route_rows(df: DataFrame, registry: Registry, provider, threshold: float = T
     # The generator of one row keeps the phrases' lambda functions out of the arguments of the Python function, where Spark
     # can't evaluate them.
     listed = df.select("*", F.explode(F.array(F.when(F.col(text_col).isNotNull(), T.phrases(F.col(text_col))))).alias("__phrases"))
-    found = listed.withColumn("route", F.pandas_udf(routed, kind)("__phrases")).drop("__phrases")
+    found = listed.withColumn("route", F.pandas_udf(routed, ROUTE)("__phrases")).drop("__phrases")
     return found.withColumn("route", F.when(F.col("route.intent_name").isNotNull(), F.col("route")))

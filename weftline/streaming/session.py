@@ -10,7 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
 from ..operators import prompt
-from ..operators.route import THRESHOLD, Registry, route_rows
+from ..operators.route import THRESHOLD, Registry, route
 from ..plans.session import STOP_AT, sanitized
 
 OUT = "conv_id long, turn long, sanitized string, intent_name string, score double, history array<struct<role:string,content:string>>"
@@ -51,7 +51,7 @@ def with_history(turns: DataFrame, history_limit: int = 10, idle_ms: int | None
         if rows:
             yield pd.DataFrame(rows, columns=["conv_id", "turn", "sanitized", "intent_name", "score", "history"])
 
-    routed = route_rows(sanitized(turns), registry or Registry(), provider, threshold)
+    routed = route(sanitized(turns), registry or Registry(), provider, threshold)
     clean = routed.select("conv_id", "turn", "sanitized", F.col("route.intent_name").alias("intent_name"), F.col("route.score").alias("score"))
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms is not None else GroupStateTimeout.NoTimeout
     return clean.groupBy("conv_id").applyInPandasWithState(step, OUT, STATE, "append", timeout)
