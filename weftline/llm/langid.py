@@ -5,7 +5,7 @@ ways to cut it into pieces, of the product of their probabilities: the forward a
 character that no piece covers is a piece of its own at a fixed floor. Words are the lower-cased runs of letters of the
 whole text, written with the vocabulary's word mark in front; a text's log likelihood is the sum over its words.
 
-Training: word counts of each language come from at most `most_rows` labelled rows (the documented bound; ids in
+Training: counts of words of up to 64 letters come from at most `most_rows` labelled rows (the documented bound; ids in
 the order of their XXH64, so that the choice is the same each time). Expectation-maximisation then runs once per language:
 expected piece counts over all segmentations, from forward and backward sums, with additive smoothing.
 
