@@ -178,8 +178,10 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) of every node of the pairs (a, b).
 
     Large-star and small-star steps in turn until the pairs are stars: no node has two roots and no root has one itself.
-    Each step aggregates a minimum per node, with partial minima before the shuffle, and each round is cut in the
-    shared folder; nothing comes to the driver but whether a round is needed.
+    Each step aggregates a minimum per node, with partial minima before the shuffle. The minima are cut before they are
+    joined back, so that both sides of the join are plain shuffles and Spark can split the partition of a node that a
+    third of all pairs share. Each round is cut in the shared folder; nothing comes to the driver but whether a round is
+    needed.
     """
     up = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b")
     edges = cut(up(edges).distinct(), narrow=True)
@@ -188,9 +190,9 @@ def components(edges: DataFrame) -> DataFrame:
         if not ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up = 1 AND down = 1)").take(1):
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), narrow=True)
         large = up(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")), narrow=True)
         pointed = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = cut(up(pointed).distinct(), narrow=True)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
