@@ -112,8 +112,8 @@ _DIGIT_WORD = "(?:" + "|".join(sorted(DIGIT_OF, key=lambda w: (-len(w), w))) + "
 SPELLED_RUN = re.compile(rf"(?<![^\W\d_]){_DIGIT_WORD}(?:[ ,.-]{{1,2}}{_DIGIT_WORD}){{2,}}(?![^\W\d_])", re.IGNORECASE)
 DIGIT_WORDS, RUN_OF_LETTERS = frozenset(DIGIT_OF), re.compile(r"[^\W\d_]+")
 SPELLED_WORD = re.compile(_DIGIT_WORD, re.IGNORECASE)
-PLUS_BEFORE = re.compile(r"\bplus[ ]+$", re.IGNORECASE)
-#: A run of spelled digits with fewer different digits is taken for prose or junk.
+PLUS_BEFORE = re.compile(r"\b(plus|más|mas)[ ]+$", re.IGNORECASE)
+#: A run of spelled digits with fewer different digits, and no plus or digit beside it, is taken for prose or junk.
 LEAST_DIFFERENT = 3
 _AT, _DOT = r"(?:at|arroba|arobase|@)", r"(?:dot|punkt|punto|point|\.)"
 BRACKETED = re.compile(rf"[ ]{{0,2}}(?:\([ ]?(?:(?P<a>{_AT})|{_DOT})[ ]?\)|\[[ ]?(?:(?P<b>{_AT})|{_DOT})[ ]?\]|\{{[ ]?(?:(?P<c>{_AT})|{_DOT})[ ]?\}}|<[ ]?(?:(?P<d>{_AT})|{_DOT})[ ]?>)[ ]{{0,2}}", re.IGNORECASE)
@@ -147,15 +147,17 @@ def _digit_letters(text: str) -> Iterator[Edit]:
 
 
 def _spelled_digits(text: str) -> Iterator[Edit]:
-    if len(DIGIT_WORDS.intersection(RUN_OF_LETTERS.findall(text.lower()))) < LEAST_DIFFERENT:
+    spelled = len(DIGIT_WORDS.intersection(RUN_OF_LETTERS.findall(text.lower())))
+    if not spelled or spelled < LEAST_DIFFERENT and "+" not in text and not DIGITS.search(text):
         return
     for m in SPELLED_RUN.finditer(text):
         found = [(DIGIT_OF[w[0].lower()], *w.span()) for w in SPELLED_WORD.finditer(text, m.start(), m.end())]
-        if len({d for d, _, _ in found}) < LEAST_DIFFERENT:
-            continue
         plus = PLUS_BEFORE.search(text, max(0, m.start() - 8), m.start())
+        beside = text[max(0, m.start() - 2) : m.start()] + text[m.end() : m.end() + 2]
+        if len({d for d, _, _ in found}) < LEAST_DIFFERENT and not ("+" in beside or DIGITS.search(beside)):
+            continue
         if plus:
-            found.insert(0, ("+", plus.start(), plus.start() + 4))
+            found.insert(0, ("+", *plus.span(1)))
         yield (plus.start() if plus else m.start()), m.end(), found
 
 
