@@ -67,6 +67,21 @@ def test_disguises(text, kind, part):
         assert pii.redacted(text) == text.replace(part, f"[{kind.upper()}]")
 
 
+PARTLY_DISGUISED = [
+    ("mail jоhn@example.com now", "email", ["hn@example.com"], ["jо"]), ("john@example.cоm ok", "email", ["john@example.c"], ["оm"]),
+    ("x john (dot) doe@example.com y", "email", ["doe@example.com"], ["john (dot) "]), ("john@mail.example (dot) com", "email", ["john@mail.example"], [" (dot) com"]),
+    ("mail bo\u200bb@example.com", "email", ["b@example.com"], ["bo\u200b"]), ("jоhn@example.cоm", "email", ["hn@example.c"], ["jо", "оm"]),
+]
+
+
+@pytest.mark.parametrize("text, kind, base, added", PARTLY_DISGUISED)
+def test_a_find_wider_than_a_base_span_is_covered_whole(text, kind, base, added):
+    found = pii.find_spans(text)
+    assert [[(k, text[s:e]) for s, e, k in spans] for spans in found] == [[(kind, x) for x in base], [(kind, x) for x in added]]
+    s, e = min(x[0] for x in sum(found, [])), max(x[1] for x in sum(found, []))
+    assert pii.redacted(text) == text[:s] + f"[{kind.upper()}]" + text[e:]
+
+
 @pytest.mark.parametrize("text", ["look at the point here and there at a dot", "one of two or three", "we met at noon dot", "Un un un un un un un un un un un un un un un un", "see (at) the (dot)", "a at b", "version 1.2.3", "é à ü"])
 def test_plain_prose_stays(text):
     assert pii.find_spans(text) == ([], []) and pii.redacted(text) == text

@@ -4,8 +4,10 @@ Base spans are found on the source. Then transducers rewrite the text, each keep
 stretch of its input that the character stands for: (1) look-alike letters, wide and foreign digits, odd dashes, spaces and
 dots become ASCII, invisible characters vanish; (2) letters that stand for digits between digits become digits;
 (3) runs of spelled digits become digits; (4) bracketed or spelled at and dot become @ and '.'. The same detectors read
-the normalised text, and every find is mapped back through all transducers to offsets of the source. A find that
-touches no base span, nor an earlier find, is added.
+the normalised text, and every find is mapped back through all transducers to offsets of the source. A find
+inside a base span or an earlier find of its kind is dropped. Of any other, each stretch that no base span nor earlier find
+covers is added under the kind of the find: the whole of it, if it touches none, else what they leave of it, so that base
+and added spans together cover every find and never overlap. `redact` replaces such a find and all it overlaps as one.
 
 Offsets are code points, end exclusive. Defined cases: null and empty texts have no spans; the transducers run over the
 whole text, when any of their patterns occurs in it; repeated rows each give their result. Only the named columns are
@@ -212,20 +214,43 @@ def normalise(text: str) -> tuple[str, list[int] | range, list[int] | range]:
     return text, starts, ends
 
 
-def find_spans(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """Base spans and added spans of a whole text."""
-    if not text:
-        return [], []
+def _finds(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """Base spans, and the whole finds in the normalised text that lie inside no base span nor earlier find of their kind; both by start."""
     base = detect(text)
     plain, starts, ends = normalise(text)
     if plain == text:
         return base, []
-    taken, added = sorted((s, e) for s, e, _ in base), []
+    wide, reached, at = [], dict.fromkeys(KINDS, 0), 0
     for s, e, kind in detect(plain):
         a, b = starts[s], ends[e - 1]
-        if not any(a < y and x < b for x, y in taken):
+        while at < len(base) and base[at][0] <= a:
+            reached[base[at][2]] = max(reached[base[at][2]], base[at][1])
+            at += 1
+        if b > reached[kind]:
+            wide.append((a, b, kind))
+            reached[kind] = b
+    return base, wide
+
+
+def find_spans(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """Base spans of a whole text, and as added spans the stretches of the disguised finds that no span before covers."""
+    if not text:
+        return [], []
+    base, wide = _finds(text)
+    added, done, at = [], 0, 0
+    for a, b, kind in wide:
+        a = max(a, done)
+        while at < len(base) and base[at][1] <= a:
+            at += 1
+        k = at
+        while a < b and k < len(base) and base[k][0] < b:
+            if a < base[k][0]:
+                added.append((a, base[k][0], kind))
+            a = max(a, base[k][1])
+            k += 1
+        if a < b:
             added.append((a, b, kind))
-            taken.append((a, b))
+        done = max(done, b)
     return base, added
 
 
@@ -250,10 +275,12 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def redacted(text: str | None) -> str | None:
-    """text with each stretch of touching spans replaced by the kind of its first span, as in [EMAIL]."""
-    base, added = find_spans(text)
+    """text with each stretch of overlapping base spans and disguised finds replaced by the kind of the first, as in [EMAIL]."""
+    if not text:
+        return text
+    base, wide = _finds(text)
     out, at, merged = [], 0, []
-    for s, e, k in sorted(base + added, key=lambda x: (x[0], KINDS.index(x[2]))):
+    for s, e, k in sorted(base + wide, key=lambda x: (x[0], KINDS.index(x[2]))):
         if merged and s < merged[-1][1]:
             merged[-1][1] = max(e, merged[-1][1])
         else:
