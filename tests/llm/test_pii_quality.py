@@ -82,6 +82,29 @@ def test_a_find_wider_than_a_base_span_is_covered_whole(text, kind, base, added)
     assert pii.redacted(text) == text[:s] + f"[{kind.upper()}]" + text[e:]
 
 
+SPELLED_OUT = [
+    ("vier eins eins eins, eins eins eins eins, eins eins eins eins, eins eins eins eins", "card", None),
+    ("pay four two four two four two four two four two four two four two four two now", "card", "four two four two four two four two four two four two four two four two"),
+    ("a cinq cinq cinq cinq cinq cinq cinq cinq cinq cinq cinq cinq quatre quatre quatre quatre b", "card", "cinq cinq cinq cinq cinq cinq cinq cinq cinq cinq cinq cinq quatre quatre quatre quatre"),
+    ("call plus one one one five five one one one five five ok", "phone", "plus one one one five five one one one five five"),
+    ("ip ten dot zero dot zero dot one ok", "ip", "ten dot zero dot zero dot one"), ("one dot one dot one dot one", "ip", None), ("plus one one.two two.one two three.one two three", "phone", None),
+    ("on one nine two dot one six eight dot one dot twenty-five.", "ip", "one nine two dot one six eight dot one dot twenty-five"), ("10 dot zero.0 (dot) one", "ip", None),
+    ("a hundred and seventy two dot sixteen dot two hundred fifty five dot 1", "ip", None), ("zehn punkt null punkt einhundertzwanzig punkt eins", "ip", None),
+    ("diez punto cero punto treinta y uno punto uno", "ip", None), ("dix point zéro point quatre-vingt-dix point un", "ip", None),
+]
+
+
+@pytest.mark.parametrize("text, kind, part", SPELLED_OUT)
+def test_spelled_digits_and_octets(text, kind, part):
+    base, added = pii.find_spans(text)
+    assert base == [] and [(k, text[s:e]) for s, e, k in added] == [(kind, part or text)]
+
+
+@pytest.mark.parametrize("text", ["one dot two dot three", "four.one.one.one.one.one", "at one. Two. Three. Four of them", "one one one one one one one one one one one one one one one one"])
+def test_spelled_numbers_that_are_no_data(text):
+    assert pii.find_spans(text) == ([], [])
+
+
 @pytest.mark.parametrize("text", ["look at the point here and there at a dot", "one of two or three", "we met at noon dot", "Un un un un un un un un un un un un un un un un", "see (at) the (dot)", "a at b", "version 1.2.3", "é à ü"])
 def test_plain_prose_stays(text):
     assert pii.find_spans(text) == ([], []) and pii.redacted(text) == text

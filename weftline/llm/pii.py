@@ -3,7 +3,9 @@
 Base spans are found on the source. Then transducers rewrite the text, each keeping for every character it writes the
 stretch of its input that the character stands for: (1) look-alike letters, wide and foreign digits, odd dashes, spaces and
 dots become ASCII, invisible characters vanish; (2) letters that stand for digits between digits become digits;
-(3) runs of spelled digits become digits; (4) bracketed or spelled at and dot become @ and '.'. The same detectors read
+(3) rows of four octets with dots between them, of which some are spelled by digits ('one nine two') or as numbers
+('ten'), become addresses; (4) runs of three or more spelled digits become digits, however few differ, since the Luhn sum,
+the number of digits and the plus decide what is found; (5) bracketed or spelled at and dot become @ and '.'. The same detectors read
 the normalised text, and every find is mapped back through all transducers to offsets of the source. A find
 inside a base span or an earlier find of its kind is dropped. Of any other, each stretch that no base span nor earlier find
 covers is added under the kind of the find: the whole of it, if it touches none, else what they leave of it, so that base
@@ -115,8 +117,40 @@ SPELLED_RUN = re.compile(rf"(?<![^\W\d_]){_DIGIT_WORD}(?:[ ,.-]{{1,2}}{_DIGIT_WO
 DIGIT_WORDS, RUN_OF_LETTERS = frozenset(DIGIT_OF), re.compile(r"[^\W\d_]+")
 SPELLED_WORD = re.compile(_DIGIT_WORD, re.IGNORECASE)
 PLUS_BEFORE = re.compile(r"\b(plus|más|mas)[ ]+$", re.IGNORECASE)
-#: A run of spelled digits with fewer different digits, and no plus or digit beside it, is taken for prose or junk.
-LEAST_DIFFERENT = 3
+
+
+def _octets() -> dict[str, str]:
+    """0 to 255 as said in the four languages, with single spaces for hyphens."""
+    teens = "ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+    tens = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+    english = SPELLED[0] + teens + [f"{t} {u}".replace(" zero", "") for t in tens for u in SPELLED[0]]
+    teens = "zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn".split()
+    tens = "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig".split()
+    german = SPELLED[1] + teens + [f"{u}und{t}" if u else t for t in tens for u in ["", "ein", *SPELLED[1][2:]]]
+    teens = "dix,onze,douze,treize,quatorze,quinze,seize,dix sept,dix huit,dix neuf".split(",")
+    tens = [(t, SPELLED[2]) for t in "vingt trente quarante cinquante".split()] + [("soixante", SPELLED[2] + teens), ("quatre vingt", SPELLED[2] + teens)]
+    french = SPELLED[2] + teens + [f"{t} {'et ' if u in ('un', 'onze') and t != 'quatre vingt' else ''}{u}".replace(" zéro", "") for t, units in tens for u in units]
+    teens = "diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve".split()
+    twenties = "veinte veintiuno veintidós veintitrés veinticuatro veinticinco veintiséis veintisiete veintiocho veintinueve".split()
+    tens = "treinta cuarenta cincuenta sesenta setenta ochenta noventa".split()
+    spanish = SPELLED[3] + teens + twenties + [f"{t} y {u}".replace(" y cero", "") for t in tens for u in SPELLED[3]]
+    names = {x: str(i) for under in (english, german, french, spanish) for i, x in enumerate(under)} | {"quatre vingts": "80", "null": "0"}
+    hundreds = [(english, 1, ["hundred", "a hundred", "one hundred"], [" ", " and "]), (english, 2, ["two hundred"], [" ", " and "])]
+    hundreds += [(german, 1, ["hundert", "einhundert"], ["", "und"]), (german, 2, ["zweihundert"], ["", "und"])]
+    hundreds += [(french, 1, ["cent"], [" "]), (french, 2, ["deux cent", "deux cents"], [" "]), (spanish, 1, ["ciento", "cien"], [" "]), (spanish, 2, ["doscientos"], [" "])]
+    for under, n, heads, links in hundreds:
+        names |= {head: str(100 * n) for head in heads}
+        names |= {f"{head}{link}{x}": str(100 * n + i) for head in heads for link in links for i, x in enumerate(under) if i and 100 * n + i < 256}
+    plain = str.maketrans("áéóúßüö", "aeousuo")
+    return names | {x.translate(plain): n for x, n in names.items()} | {x.replace("ß", "ss"): n for x, n in names.items()}
+
+
+OCTETS = _octets()
+MOST_OCTET_WORDS = max(3, *(len(x.split()) for x in OCTETS))
+MOST_OCTET_CHARS = max(map(len, OCTETS)) + 2 * MOST_OCTET_WORDS
+#: What can stand between two octets: a dot, in brackets or spelled.
+OCTET_DOT = re.compile(r"[ ]{1,2}(?:dot|punkt|punto|point)[ ]{1,2}|[ ]{0,2}[(\[{<][ ]?(?:dot|punkt|punto|point|\.)[ ]?[)\]}>][ ]{0,2}|\.", re.IGNORECASE)
+OCTET_WORD = re.compile(r"[^\W_]+")
 _AT, _DOT = r"(?:at|arroba|arobase|@)", r"(?:dot|punkt|punto|point|\.)"
 BRACKETED = re.compile(rf"[ ]{{0,2}}(?:\([ ]?(?:(?P<a>{_AT})|{_DOT})[ ]?\)|\[[ ]?(?:(?P<b>{_AT})|{_DOT})[ ]?\]|\{{[ ]?(?:(?P<c>{_AT})|{_DOT})[ ]?\}}|<[ ]?(?:(?P<d>{_AT})|{_DOT})[ ]?>)[ ]{{0,2}}", re.IGNORECASE)
 #: at with dot in words around it, one pair of words for each language; the whole address is matched, from its at on.
@@ -148,16 +182,70 @@ def _digit_letters(text: str) -> Iterator[Edit]:
         yield m.start(), m.end(), [(c.translate(AS_DIGITS), m.start() + i, m.start() + i + 1) for i, c in enumerate(m[0])]
 
 
+def _octet(words: list[re.Match]) -> str | None:
+    """The number that the words, one to three digits or spelled digits or a spelled number, say if it is an octet's."""
+    said = [w[0].lower() for w in words]
+    digits = "".join(DIGIT_OF.get(w, w) for w in said)
+    if digits.isascii() and digits.isdigit() and len(digits) <= 3:
+        return digits if int(digits) <= 255 else None
+    return OCTETS.get(" ".join(said))
+
+
+def _beside(text: str, start: int, stop: int, forward: bool) -> tuple[int, int, str] | None:
+    """The longest octet that starts at start, or ends at stop; words of it are parted by one or two of ' ,-'."""
+    words = list(OCTET_WORD.finditer(text, start, stop))
+    words = words if forward else words[::-1]
+    if not words or (words[0].start() != start if forward else words[0].end() != stop):
+        return None
+    best, chain = None, []
+    for w in words[: MOST_OCTET_WORDS + 1]:
+        if chain:
+            gap = text[chain[-1].end() : w.start()] if forward else text[w.end() : chain[-1].start()]
+            if not 1 <= len(gap) <= 2 or gap.strip(" ,-"):
+                break
+        chain.append(w)
+        own = chain if forward else chain[::-1]
+        n = _octet(own)
+        if n is not None:
+            best = own[0].start(), own[-1].end(), n
+    return best
+
+
+def _spelled_octets(text: str) -> Iterator[Edit]:
+    """Four octets, some of them spelled, with dots between them; a longer row, or one with plain dots behind a plus, is no address."""
+    dots = list(OCTET_DOT.finditer(text))
+    if len(dots) < 3:
+        return
+    between = []
+    for x, y in zip(dots, dots[1:]):
+        inner = _beside(text, x.end(), y.start(), True) if 0 < y.start() - x.end() <= MOST_OCTET_CHARS and text[x.end()].isalnum() else None
+        between.append(inner if inner and inner[1] == y.start() else None)
+    at = 0
+    while at < len(between):
+        if between[at] is None:
+            at += 1
+            continue
+        last = at
+        while last < len(between) and between[last] is not None:
+            last += 1
+        left = _beside(text, max(0, dots[at - 1].end() if at else 0, dots[at].start() - MOST_OCTET_CHARS), dots[at].start(), False)
+        right = _beside(text, dots[last].end(), min(len(text), dots[last].end() + MOST_OCTET_CHARS, dots[last + 1].start() if last + 1 < len(dots) else len(text)), True)
+        octets = [x for x in (left, *between[at:last], right) if x]
+        a_phone = left and (text[left[0] - 1 : left[0]] == "+" or PLUS_BEFORE.search(text, max(0, left[0] - 8), left[0])) and all(d[0] == "." for d in dots[at : last + 1])
+        if len(octets) == 4 and not a_phone and not all(text[s:e] == n for s, e, n in octets):
+            for i, (s, e, n) in enumerate(octets):
+                if i:
+                    yield octets[i - 1][1], s, [(".", octets[i - 1][1], s)]
+                yield s, e, [(n, s, e)]
+        at = last
+
+
 def _spelled_digits(text: str) -> Iterator[Edit]:
-    spelled = len(DIGIT_WORDS.intersection(RUN_OF_LETTERS.findall(text.lower())))
-    if not spelled or spelled < LEAST_DIFFERENT and "+" not in text and not DIGITS.search(text):
+    if DIGIT_WORDS.isdisjoint(RUN_OF_LETTERS.findall(text.lower())):
         return
     for m in SPELLED_RUN.finditer(text):
         found = [(DIGIT_OF[w[0].lower()], *w.span()) for w in SPELLED_WORD.finditer(text, m.start(), m.end())]
         plus = PLUS_BEFORE.search(text, max(0, m.start() - 8), m.start())
-        beside = text[max(0, m.start() - 2) : m.start()] + text[m.end() : m.end() + 2]
-        if len({d for d, _, _ in found}) < LEAST_DIFFERENT and not ("+" in beside or DIGITS.search(beside)):
-            continue
         if plus:
             found.insert(0, ("+", *plus.span(1)))
         yield (plus.start() if plus else m.start()), m.end(), found
@@ -186,7 +274,7 @@ def _spelled_addresses(text: str) -> Iterator[Edit]:
         yield from ([(at.start(), at.end(), [("@", *at.span())])] if at else []) + found
 
 
-TRANSDUCERS: tuple[Callable[[str], Iterator[Edit]], ...] = (_fold, _digit_letters, _spelled_digits, _at_and_dot, _spelled_addresses)
+TRANSDUCERS: tuple[Callable[[str], Iterator[Edit]], ...] = (_fold, _digit_letters, _spelled_octets, _spelled_digits, _at_and_dot, _spelled_addresses)
 
 
 def transduce(text: str, starts: list[int] | range, ends: list[int] | range, edits: list[Edit]) -> tuple[str, list[int], list[int]]:
