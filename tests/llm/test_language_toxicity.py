@@ -107,6 +107,30 @@ def test_machine_learns_a_pair_that_weights_alone_miss():
     assert pair.score([[0, 1]])[0] == pytest.approx(1 / (1 + math.exp(-raw)))
 
 
+def pair_rows(n=4000):
+    """insult and group are toxic together and clean alone, so that the toxic share of either is that of all rows."""
+    rnd = random.Random(6)
+    prose = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
+    rows = []
+    for i in range(n):
+        insult, group = rnd.random() < 0.2, rnd.random() < 0.2
+        vile = not insult and not group and rnd.random() < 0.25
+        words = [rnd.choice(prose) for _ in range(rnd.randint(5, 40))] + ["insulting"] * insult + ["groupname"] * group + ["vileword"] * vile
+        rows.append((i, " ".join(words), int(vile or insult and group), insult + group))
+    return rows
+
+
+def test_a_pair_without_evidence_of_its_own_is_learned_on_held_out_rows(spark):
+    rows = pair_rows()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, labels).collect()}
+    held = [r for r in rows if crc_of(r[0]) % 5 == 0]
+    for both in (0, 1, 2):
+        own = [r for r in held if r[3] == both]
+        assert len(own) > 20 and sum(found[r[0]] == r[2] for r in own) >= 0.95 * len(own)
+
+
 def test_toxicity_of_odd_rows(spark, odd, nothing):
     labels = spark.createDataFrame([(3, 1), (4, 0), (4, 0), (7, None), (None, 1), (99, 1)], "doc_id long, toxic int")
     found = toxicity.toxicity(odd, labels).collect()

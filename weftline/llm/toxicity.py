@@ -7,8 +7,10 @@ weigh more than both alone.
 
 Training takes at most `most_rows` labelled rows (the documented bound; ids in the order of their XXH64, so that the
 choice is the same each time). Their ids are broadcast, which the bound makes safe, and the texts stay where they are.
-Spark counts, for each place, how many toxic and clean training texts have it and keeps, of those whose toxic share
-lies `evidence` standard errors or more off the overall share, the `kept` furthest off; the machine is then fitted by Adagrad on the rows reduced to those places.
+The places of their terms come to the driver, which fits the machine by Adagrad over all of them, so that also
+terms that are neutral alone and toxic only together are learned. So that noise does not drown the plain evidence, the fit
+starts from a machine over the places that speak for themselves: of those in `least` texts or more whose toxic share lies
+`evidence` standard errors or more off the overall share, the `kept` furthest off.
 
 Defined cases: null and empty texts have no term and score sigmoid(w0); labels with null count as unlabelled; an id that is
 labelled twice gives a training row each time; with no toxic or no clean training row the score is the toxic share of
@@ -78,12 +80,13 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places = Places()
     for batch in batches:
         found = [places.of(t.as_py()) for t in batch.column("text")]
-        order = [xxhash.xxh64_intdigest(np.array(x, "<u4").tobytes(), 1) >> 1 for x in found]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(order, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "ord", "places"])
+        packed = [np.array(x, "<u4").tobytes() for x in found]
+        order = [xxhash.xxh64_intdigest(x, 1) >> 1 for x in packed]
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(order, pa.int64()), pa.array(packed, pa.binary())], names=["toxic", "ord", "places"])
 
 
 class Machine:
-    """w0, weights and factors over the kept places."""
+    """w0, weights and factors over its places."""
 
     def __init__(self, w0: float, kept: np.ndarray, w: np.ndarray, v: np.ndarray):
         self.w0, self.kept, self.w, self.v = w0, kept, w, v
@@ -98,16 +101,24 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit_machine(features: list[list[int]], labels: np.ndarray, kept: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = 0.1, ridge: float = 1e-4, seed: int = 0) -> Machine:
-    """Adagrad on the log loss, in mini-batches; the rarer label weighs as much as the other one, up to 10 times."""
+def fit_machine(features: list[list[int]], labels: np.ndarray, kept: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = 0.1, ridge: float = 1e-4, seed: int = 0, start: Machine | None = None) -> Machine:
+    """Adagrad on the log loss, in mini-batches; the rarer label weighs as much as the other one, up to 10 times.
+
+    From a start, a machine over some of the places, steps are no longer than their gradients: what it leaves open is learned.
+    """
     rng, share = np.random.default_rng(seed), float(labels.mean()) if len(labels) else 0.0
     n = len(kept)
     w, v = np.zeros(n), rng.normal(0, 0.01, (n, factors))
     if share in (0.0, 1.0):
         return Machine(30.0 if share else -30.0, kept, w, v * 0)
-    w0, gw, gv, g0 = float(np.log(share / (1 - share))), np.full(n, 1e-6), np.full((n, factors), 1e-6), 1e-6
+    w0, seen = float(np.log(share / (1 - share))), 1e-6
+    if start is not None:
+        own = np.searchsorted(kept, start.kept)
+        w0, w[own], seen = start.w0, start.w, 1.0
+        v[own] += start.v
+    gw, gv, g0 = np.full(n, seen), np.full((n, factors), seen), 1e-6
     sizes = np.array([len(x) for x in features])
-    flat, starts = np.array([p for x in features for p in x], "i8"), np.concatenate([[0], np.cumsum(sizes)])
+    flat, starts = np.concatenate([np.asarray(x, "i4") for x in features]), np.concatenate([[0], np.cumsum(sizes)])
     weight = np.where(labels == 1, min(10.0, (1 - share) / share), 1.0)
     for _ in range(epochs):
         order = rng.permutation(len(features))
@@ -115,8 +126,7 @@ def fit_machine(features: list[list[int]], labels: np.ndarray, kept: np.ndarray,
             rows = order[at : at + 64]
             own = np.concatenate([flat[starts[r] : starts[r + 1]] for r in rows])
             row = np.repeat(np.arange(len(rows)), sizes[rows])
-            total = np.zeros((len(rows), factors))
-            np.add.at(total, row, v[own])
+            total = np.stack([np.bincount(row, v[own, k], len(rows)) for k in range(factors)], axis=1)
             squares = np.bincount(row, (v[own] ** 2).sum(axis=1), len(rows))
             raw = w0 + np.bincount(row, w[own], len(rows)) + 0.5 * ((total**2).sum(axis=1) - squares)
             off = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[rows]) * weight[rows] / len(rows)
@@ -125,9 +135,8 @@ def fit_machine(features: list[list[int]], labels: np.ndarray, kept: np.ndarray,
             w0 -= rate * d0 / np.sqrt(g0)
             used, inverse = np.unique(own, return_inverse=True)
             dw = np.bincount(inverse, off[row], len(used)) + ridge * w[used]
-            dv = np.zeros((len(used), factors))
-            np.add.at(dv, inverse, off[row][:, None] * (total[row] - v[own]))
-            dv += ridge * v[used]
+            each = off[row][:, None] * (total[row] - v[own])
+            dv = np.stack([np.bincount(inverse, each[:, k], len(used)) for k in range(factors)], axis=1) + ridge * v[used]
             gw[used] += dw**2
             gv[used] += dv**2
             w[used] -= rate * dw / np.sqrt(gw[used])
@@ -136,24 +145,33 @@ def fit_machine(features: list[list[int]], labels: np.ndarray, kept: np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", kept: int = KEPT, least: int = LEAST_TEXTS, evidence: float = EVIDENCE, most_rows: int = MOST_ROWS) -> Machine:
-    """Fits a machine on the labelled rows given. Sent to the driver: at most `kept` places and `most_rows` short rows."""
+    """Fits a machine on the labelled rows given. Sent to the driver: the places, PLACES at most, of each of at most `most_rows` rows."""
     chosen = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id", "toxic").limit(most_rows)
     rows = prepare(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    placed = cut(rows.select("toxic", "text").mapInArrow(_placed, "toxic int, ord long, places array<int>"))
-    toxic, all_rows = placed.agg(F.sum("toxic"), F.count(F.lit(1))).first()
-    toxic, clean = toxic or 0, all_rows - (toxic or 0)
+    placed = cut(rows.select("toxic", "text").mapInArrow(_placed, "toxic int, ord long, places binary"))
+    # By partition, so that the driver's JVM never holds all rows; rows alike in ord and label have the same places.
+    rows = sorted((r["ord"], r["toxic"], r["places"]) for r in placed.toLocalIterator())
+    labelled, found = np.array([r[1] for r in rows], "f8"), [np.frombuffer(r[2], "<u4") for r in rows]
+    all_rows, toxic = len(rows), int(labelled.sum())
+    clean = all_rows - toxic
     if not toxic or not clean:
         return Machine(float(np.log((toxic + 1e-9) / (clean + 1e-9))) if all_rows else -30.0, np.zeros(0, "i4"), np.zeros(0), np.zeros((0, FACTORS)))
-    counts = placed.select("toxic", F.explode("places").alias("p")).groupBy("p").agg(F.sum("toxic").cast("double").alias("t"), F.count(F.lit(1)).cast("double").alias("n")).filter(F.col("n") >= least)
+    n, t = np.zeros(PLACES), np.zeros(PLACES)
+    for x, label in zip(found, labelled):
+        n[x] += 1
+        t[x] += label
     share = toxic / all_rows
-    off = (F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    best = counts.withColumn("off", F.abs(off)).filter(F.col("off") >= evidence).orderBy(F.desc("off"), "p").limit(kept).toPandas()
-    places = np.sort(best["p"].to_numpy().astype("i4"))
-    at = {int(p): i for i, p in enumerate(places)}
-    wanted = placed.withColumn("places", F.array_intersect("places", F.lit(places.tolist()) if len(places) else F.array().cast("array<int>")))
-    pdf = wanted.orderBy("ord", "toxic").select("toxic", "places").toPandas()
-    return fit_machine([[at[int(p)] for p in x] for x in pdf["places"]], pdf["toxic"].to_numpy().astype("f8"), places)
+    off = np.abs(t - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share))
+    strong = np.flatnonzero((n >= least) & (off >= evidence))
+    strong = np.sort(strong[np.lexsort((strong, -off[strong]))[:kept]]).astype("i4")
+
+    def fitted(places: np.ndarray, start: Machine | None = None) -> Machine:
+        at = np.full(PLACES, -1, "i4")
+        at[places] = np.arange(len(places))
+        return fit_machine([x[x >= 0] for x in (at[x] for x in found)], labelled, places, start=start)
+
+    return fitted(np.flatnonzero(n).astype("i4"), fitted(strong))
 
 
 def _scorer(machine: Machine):
