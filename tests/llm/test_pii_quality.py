@@ -105,6 +105,29 @@ def test_spelled_numbers_that_are_no_data(text):
     assert pii.find_spans(text) == ([], [])
 
 
+SPELLED_AT = [
+    ("write jane at example.com now", "jane at example.com"), ("jane AT example.com", "jane AT example.com"), ("a jane arroba ejemplo.es.", "jane arroba ejemplo.es"),
+    ("to john dot doe at example dot com ok", "john dot doe at example dot com"), ("to j dot r dot doe at mail.example.org ok", "j dot r dot doe at mail.example.org"),
+    ("x ana punto ruiz arroba ejemplo punto es", "ana punto ruiz arroba ejemplo punto es"), ("jane at example punto com", "jane at example punto com"), ("jane at mail dot example.com", "jane at mail dot example.com"),
+]
+
+
+@pytest.mark.parametrize("text, part", SPELLED_AT)
+def test_spelled_at_and_dots(text, part):
+    base, added = pii.find_spans(text)
+    assert base == [] and [(k, text[s:e]) for s, e, k in added] == [("email", part)]
+    assert pii.redacted(text) == text.replace(part, "[EMAIL]")
+
+
+def test_spelled_dots_before_a_plain_address():
+    assert pii.redacted("to john dot doe@example.com ok") == "to [EMAIL] ok"
+
+
+@pytest.mark.parametrize("text", ["look at example.com", "see us at www.example.com", "details at example.com/page", "at this point in time", "we arrived at noon.Then we left", "a dot here, and at noon. Then"])
+def test_prose_with_at_stays(text):
+    assert pii.find_spans(text) == ([], [])
+
+
 @pytest.mark.parametrize("text", ["look at the point here and there at a dot", "one of two or three", "we met at noon dot", "Un un un un un un un un un un un un un un un un", "see (at) the (dot)", "a at b", "version 1.2.3", "é à ü"])
 def test_plain_prose_stays(text):
     assert pii.find_spans(text) == ([], []) and pii.redacted(text) == text

@@ -5,7 +5,8 @@ stretch of its input that the character stands for: (1) look-alike letters, wide
 dots become ASCII, invisible characters vanish; (2) letters that stand for digits between digits become digits;
 (3) rows of four octets with dots between them, of which some are spelled by digits ('one nine two') or as numbers
 ('ten'), become addresses; (4) runs of three or more spelled digits become digits, however few differ, since the Luhn sum,
-the number of digits and the plus decide what is found; (5) bracketed or spelled at and dot become @ and '.'. The same detectors read
+the number of digits and the plus decide what is found; (5) bracketed or spelled at and dot become @ and '.', in the local part as well; after a spelled at the host's dots may be plain,
+unless a word before it that is common there, a www, a path behind it or an ending like 'Then' make it prose. The same detectors read
 the normalised text, and every find is mapped back through all transducers to offsets of the source. A find
 inside a base span or an earlier find of its kind is dropped. Of any other, each stretch that no base span nor earlier find
 covers is added under the kind of the find: the whole of it, if it touches none, else what they leave of it, so that base
@@ -153,9 +154,27 @@ OCTET_DOT = re.compile(r"[ ]{1,2}(?:dot|punkt|punto|point)[ ]{1,2}|[ ]{0,2}[(\[{
 OCTET_WORD = re.compile(r"[^\W_]+")
 _AT, _DOT = r"(?:at|arroba|arobase|@)", r"(?:dot|punkt|punto|point|\.)"
 BRACKETED = re.compile(rf"[ ]{{0,2}}(?:\([ ]?(?:(?P<a>{_AT})|{_DOT})[ ]?\)|\[[ ]?(?:(?P<b>{_AT})|{_DOT})[ ]?\]|\{{[ ]?(?:(?P<c>{_AT})|{_DOT})[ ]?\}}|<[ ]?(?:(?P<d>{_AT})|{_DOT})[ ]?>)[ ]{{0,2}}", re.IGNORECASE)
-#: at with dot in words around it, one pair of words for each language; the whole address is matched, from its at on.
+#: What words before a spelled at and a host with plain dots make it prose ('look at example.com'); a local part with a digit or sign is none.
+PROSE_BEFORE_AT = frozenset(
+    "a about access account also am an and apply are article articles as available back be been blog book books browse buy by call check click code company contact content course data details directly download "
+    "email emails everything file files find first for found free from get go had has have he help her here hers him his home hosted i images in info information is it items join just live located look looked looking looks "
+    "mail maintained me meet meeting message more my new news not now of offered official on one online only or order original originally our ours out over page pages photos posted posts price product products published purchase "
+    "read register registered research resources review sale see seen sell service services she shop shopping sign site sold source starts stay stop store stories story that the their them there these they this those tickets "
+    "time to today try up updates us use version video videos view visit was we website were what while who with work worked working works write you your yours".split()
+)
 _LABEL = r"[A-Za-z0-9-]{1,63}"
-SPELLED_TAIL = re.compile("|".join(rf"(?<=[A-Za-z0-9])(?:[ ]{{1,2}}{at}[ ]{{1,2}}|@){_LABEL}(?:(?:[ ]{{1,2}}{dot}[ ]{{1,2}}|\.){_LABEL}){{0,4}}[ ]{{1,2}}{dot}[ ]{{1,2}}[A-Za-z]{{2,24}}(?![A-Za-z0-9-])" for at, dot in (("at", "dot"), ("at", "punkt"), ("arroba", "punto"), ("arobase", "point"))), re.IGNORECASE)
+_PLAIN_AT = r"(?:(?<=[A-Za-z0-9])[ ]{1,2}(?:at|arroba|arobase)[ ]{1,2})"
+#: at and a dot in words, or a spelled at and plain dots; the address is matched from its at on. Words of one language go
+#: together, others only before an ending that is no word.
+_ENDING = "(?:com|org|net|edu|gov|info|biz|io|de|fr|es|eu|uk|ch|mx|nl|pl|ru|cat|app|dev)"
+_PAIRS = [("at", "dot", "[A-Za-z]{2,24}"), ("at", "punkt", "[A-Za-z]{2,24}"), ("arroba", "punto", "[A-Za-z]{2,24}"), ("arobase", "point", "[A-Za-z]{2,24}"), ("(?:at|arroba|arobase)", "(?:dot|punkt|punto|point)", _ENDING)]
+SPELLED_TAIL = re.compile("|".join(rf"(?<=[A-Za-z0-9])(?:[ ]{{1,2}}{at}[ ]{{1,2}}|@){_LABEL}(?:(?:[ ]{{1,2}}{dot}[ ]{{1,2}}|\.){_LABEL}){{0,8}}[ ]{{1,2}}{dot}[ ]{{1,2}}{last}(?![A-Za-z0-9-])" for at, dot, last in _PAIRS), re.IGNORECASE)
+PLAIN_TAIL = re.compile(rf"{_PLAIN_AT}(?!www\.){_LABEL}(?:(?:[ ]{{1,2}}(?:dot|punkt|punto|point)[ ]{{1,2}}|\.){_LABEL}){{0,8}}\.[A-Za-z]{{2,24}}(?![A-Za-z0-9/:-])", re.IGNORECASE)
+PLAIN_TAIL_AT = re.compile(rf"(?<=[A-Za-z0-9])@{_LABEL}(?:\.{_LABEL}){{1,8}}(?![A-Za-z0-9-])")
+#: A spelled dot and the word before it, read backwards from an at.
+LOCAL_DOT = re.compile(r"([A-Za-z0-9._%+-]+)([ ]{1,2}(?:dot|punkt|punto|point)[ ]{1,2})$", re.IGNORECASE)
+LAST_WORD = re.compile(r"[A-Za-z0-9._%+-]+$")
+MOST_LOCAL = 64
 SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])[ ]{1,2}@[ ]{0,2}(?=[A-Za-z0-9-]+\.[A-Za-z]{2,})|(?<=[A-Za-z0-9])@[ ]{1,2}(?=[A-Za-z0-9-]+\.[A-Za-z]{2,})")
 DOTS_IN_IP = re.compile(r"(?<=[0-9])[ ]{1,2}dot[ ]{1,2}(?=[0-9])", re.IGNORECASE)
 _WORD_AT = re.compile(r"[ ]{1,2}(at|arroba|arobase)[ ]{1,2}", re.IGNORECASE)
@@ -265,13 +284,42 @@ def _at_and_dot(text: str) -> Iterator[Edit]:
             end = stop
 
 
+def _local_dots(text: str, at: int, least: int) -> list[Edit]:
+    """The spelled dots of the local part that ends before at, none before least."""
+    low = max(least, at - 3 * MOST_LOCAL)
+    word = LAST_WORD.search(text, low, at)
+    dots: list[Edit] = []
+    while word:
+        m = LOCAL_DOT.search(text, low, word.start())
+        if not m:
+            break
+        dots.append((*m.span(2), [(".", *m.span(2))]))
+        word = m
+    return dots[::-1]
+
+
 def _spelled_addresses(text: str) -> Iterator[Edit]:
-    if not any(w in text.lower() for w in (" dot ", " punkt ", " punto ", " point ")):
-        return
-    for m in SPELLED_TAIL.finditer(text):
-        found = [(x.start(), x.end(), [(".", *x.span())]) for x in _WORD_DOT.finditer(text, m.start(), m.end())]
+    low = text.lower()
+    dotted, atted = any(w in low for w in (" dot ", " punkt ", " punto ", " point ")), any(w in low for w in (" at ", " arroba ", " arobase "))
+    found = [(m, False) for m in SPELLED_TAIL.finditer(text)] if dotted else []
+    found += [(m, True) for m in PLAIN_TAIL.finditer(text)] if atted and "." in text else []
+    found += [(m, False) for m in PLAIN_TAIL_AT.finditer(text)] if dotted and "@" in text else []
+    end = 0
+    for m, plain in sorted(found, key=lambda x: (x[0].start(), -x[0].end())):
+        if m.start() < end:
+            continue
+        before = _local_dots(text, m.start(), end)
+        if plain and not before:
+            word = LAST_WORD.search(text, max(end, m.start() - MOST_LOCAL), m.start())
+            ending = m[0].rpartition(".")[2]
+            if word is None or word[0].lower() in PROSE_BEFORE_AT or not (ending.islower() or ending.isupper()):
+                continue
+        yield from before
         at = _WORD_AT.match(text, m.start(), m.end())
-        yield from ([(at.start(), at.end(), [("@", *at.span())])] if at else []) + found
+        if at:
+            yield at.start(), at.end(), [("@", *at.span())]
+        yield from ((x.start(), x.end(), [(".", *x.span())]) for x in _WORD_DOT.finditer(text, m.start(), m.end()))
+        end = m.end()
 
 
 TRANSDUCERS: tuple[Callable[[str], Iterator[Edit]], ...] = (_fold, _digit_letters, _spelled_octets, _spelled_digits, _at_and_dot, _spelled_addresses)
