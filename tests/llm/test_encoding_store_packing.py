@@ -111,3 +111,13 @@ def test_histogram_of_very_different_lengths_stays_small(spark):
     df = spark.createDataFrame([(n,) for n in (1, 2, 1000, 1001, 99_999)], "n_tokens long")
     lengths, counts = packing.histogram(df, finest=100)
     assert counts.sum() == 5 and (lengths % 1000 == 0).all() and lengths.max() == 100_000
+
+
+def test_one_very_long_text_leaves_the_histogram_and_bounds_exact(spark):
+    lengths = [*range(1, 400, 7), 50_000_000]
+    df = spark.createDataFrame([(n,) for n in lengths for _ in range(1 + n % 3)], "n_tokens long")
+    found, counts = packing.histogram(df)
+    assert dict(zip(found.tolist(), counts.tolist())) == {n: 1 + n % 3 for n in lengths}
+    bounds = packing.optimal_bounds(found, counts, 4)
+    padding = sum((1 + n % 3) * (min(b for b in bounds if b >= n) - n) for n in lengths)
+    assert padding == least_padding(lengths, [1 + n % 3 for n in lengths], 4)

@@ -6,8 +6,9 @@ bucket's bound less its length, is the least possible. Rows of a bucket, in orde
 of as many rows as fit the token budget at the bucket's bound, at least one. Positions are global: rows are sorted by
 range, counted by partition and bucket, and numbered from these counts, so no bucket is gathered in one task.
 
-What comes to the driver is the histogram. It has a row for each length that occurs, which a text's length bounds
-and not their number; lengths beyond `finest` share rows of `ceil(longest / finest)` tokens, bounds then being multiples.
+What comes to the driver is the histogram, exact, with a row for each length that occurs. d different lengths take
+1 + 2 + ... + d tokens at least, so there are at most sqrt(2 x tokens of the table) rows. Only a caller that passes `finest`
+to `histogram` gets a coarser one.
 
 Defined cases: null and empty texts have length 1 (the end id); a length above the budget makes batches of one row; a null
 id is placed by length like any other, first among its equals; repeated rows are placed each; an empty table gives no
@@ -27,7 +28,6 @@ from .encoding import default_vocabulary, encoder
 
 BUCKETS = 16
 TOKEN_BUDGET = 16_384
-FINEST = 1 << 16
 
 
 def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
@@ -78,10 +78,13 @@ def _lengths(vocabulary: str):
     return count
 
 
-def histogram(measured: DataFrame, finest: int = FINEST) -> tuple[np.ndarray, np.ndarray]:
-    longest = measured.agg(F.max("n_tokens")).first()[0] or 0
-    step = max(1, -(-longest // finest))
-    rows = measured.groupBy((F.ceil(F.col("n_tokens") / step) * step).cast("long").alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()
+def histogram(measured: DataFrame, finest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and their numbers of rows: exact, or by `finest` steps at most if it is given."""
+    n = F.col("n_tokens")
+    if finest is not None:
+        step = max(1, -(-(measured.agg(F.max("n_tokens")).first()[0] or 0) // finest))
+        n = (F.ceil(n / step) * step).cast("long")
+    rows = measured.groupBy(n.alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()
     return np.array([r["n"] for r in rows], "i8"), np.array([r["rows"] for r in rows], "i8")
 
 
