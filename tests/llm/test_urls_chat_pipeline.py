@@ -132,6 +132,33 @@ def test_black_box_templates():
         assert [text[b:c] for text, spans, _ in parts for _, _, b, c, _ in spans] == [t for _, t in many]
 
 
+def test_long_conversations_of_templates_without_a_reach_are_rendered_whole():
+    """Rewriting after hundreds of turns, numbered turns and a first turn that all others name."""
+    turns = [("user" if i % 2 else "system", f"m{i}") for i in range(600)]
+    late = lambda ts: "".join(t.upper() if len(ts) > 300 else t for _, t in ts)
+    for window in (7, 256, 1000):
+        assert list(chat.render_parts(turns, late, window)) == [(late(turns), [], True)]
+        numbered = lambda ts: "".join(f"{i}:{ts[0][1]}>{t};" for i, (_, t) in enumerate(ts))
+        parts = list(chat.render_parts(turns, numbered, window))
+        assert "".join(p[0] for p in parts) == numbered(turns) and not any(p[2] for p in parts)
+        assert [text[b:c] for text, spans, _ in parts for _, _, b, c, _ in spans][1:] == [t for _, t in turns][1:]
+
+
+def test_a_declared_reach_is_checked():
+    turns = [("user", f"m{i}") for i in range(100)]
+
+    def declared(template, reach):
+        template.reach = reach
+        return template
+
+    two_back = lambda ts: "".join(f"{ts[i - 2][1] if i > 1 else ''}|{t};" for i, (_, t) in enumerate(ts))
+    parts = list(chat.render_parts(turns, declared(two_back, 2), 8))
+    assert "".join(p[0] for p in parts) == two_back(turns) and len(parts) == 13
+    for wrong in (lambda ts: "".join(f"{len(ts) if i else 0}{t}" for i, (_, t) in enumerate(ts)), lambda ts: "".join(f"{i}{t}" for i, (_, t) in enumerate(ts))):
+        with pytest.raises(ValueError):
+            list(chat.render_parts(turns, declared(wrong, 3), 8))
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 class TestQueries:
     def test_contracts(self, spark):

@@ -9,11 +9,13 @@ at either end: what both outputs begin and end with is the header and the footer
 The template of the query marks turns in the style of ChatML and escapes control strings inside texts reversibly: between
 `<` and `|` one backslash more is written than is there. Roles are escaped further so that they hold no line end.
 
-Conversations are read in order out of sorted partitions, one turn after the other, so that one of any length takes no
-more memory than `window` turns: it is written in parts of as many turns each. Prefixes are rendered over at most
-`window` turns as well: after so many, the turns before the last half window are put aside and the spans go on from
-there. A template may therefore depend on no more than half a window of earlier turns; up to `window` turns it may
-depend on all.
+A template of which nothing is known has every prefix of the whole conversation rendered, whatever its length: work grows
+with the square of the turns, and the task holds the conversation. Where history is rewritten, the whole output of the
+template for all turns is given once, without spans. A template may declare, by an attribute `reach`, that a turn's output
+depends on at most so many turns before it and that it never rewrites: its conversations are read in order out of sorted
+partitions and written in parts of `window` turns, so that one of any length takes bounded memory. Up to `window` turns its
+prefixes are whole as well; then all but the last half window (or `reach` + 1 turns, if that is more) are put aside. The
+declaration is checked: a rewrite, or a turn that grows otherwise without the turns put aside, is an error.
 
 Defined cases: null text and null role are empty; a null turn number comes first, a null conversation is one of its own;
 rows that repeat (conversation, turn) are ordered by role and text; an empty table gives no rows. Other columns are not
@@ -60,6 +62,10 @@ def chatml(turns: list[Turn]) -> str:
     return "".join(f"{START}{escape_role(role)}\n{escape(text)}{END}\n" for role, text in turns)
 
 
+#: Each turn is written by itself.
+chatml.reach = 0
+
+
 def _common(a: str, b: str) -> int:
     """Length of the common beginning."""
     low, high = 0, min(len(a), len(b))
@@ -76,25 +82,36 @@ class Rendering:
     """Renders turns one after the other; `rewrites` is true from the first output that does not begin with the one before."""
 
     def __init__(self, template: Template = chatml, window: int = WINDOW):
-        self.template, self.window, self.rewrites = template, window, False
+        self.template, self.reach, self.rewrites = template, getattr(template, "reach", None), False
+        self.window = window if self.reach is None else max(window, 2 * (self.reach + 1))
         self._seen: list[Turn] = []
         self._before = self.start = template([])
 
     def add(self, turn: Turn) -> tuple[str, int, int] | None:
         """What the output grows by, and where in it the turn's text starts and ends; None if history is rewritten."""
-        template = self.template
-        if len(self._seen) >= self.window:
-            self._seen = self._seen[-(self.window // 2) :]
-            self._before = template(self._seen)
-        before, after = self._before, template([*self._seen, turn])
-        if self.rewrites or not after.startswith(before):
+        template, before = self.template, self._before
+        if self.rewrites:
+            return None
+        after = template([*self._seen, turn])
+        if not after.startswith(before):
+            if self.reach is not None:
+                raise ValueError("a template with a reach must not rewrite history")
             self.rewrites = True
             return None
         a, b = (template([*self._seen, (turn[0], p)]) for p in PROBES)
         head, tail = _common(a, b), _common(a[::-1], b[::-1])
         self._seen.append(turn)
-        self._before = after
-        return after[len(before) :], head - len(before), len(after) - len(before) - tail
+        self._before, grown = after, after[len(before) :]
+        if self.reach is not None and len(self._seen) >= self.window:
+            self._put_aside(grown)
+        return grown, head - len(before), len(grown) - tail
+
+    def _put_aside(self, grown: str) -> None:
+        """Keeps the turns that the next ones can depend on; grown is what the last turn added beside all of them."""
+        self._seen = self._seen[-max(self.window // 2, self.reach + 1) :]
+        self._before = self.template(self._seen)
+        if self._before != self.template(self._seen[:-1]) + grown:
+            raise ValueError("a turn depends on more turns than the template's reach")
 
 
 Part = tuple[str, list[tuple[str, int, int, int, int]], bool]
@@ -103,24 +120,32 @@ Part = tuple[str, list[tuple[str, int, int, int, int]], bool]
 def render_parts(turns: Iterable[Turn], template: Template = chatml, window: int = WINDOW) -> Iterator[Part]:
     """(formatted, spans, rewrites) of each `window` turns; a span is (role, start, text start, text end, end) in its part.
 
-    What the template writes before any turn belongs to the first part. A part in which history is rewritten, and every
-    part after it, holds the template's output for its own turns and no spans.
+    What the template writes before any turn belongs to the first part. If history is rewritten there is one part: the
+    template's output for all turns, without spans. Only a template with a reach gives its parts before the last turn is read.
     """
-    rendering, out, spans, at, own = Rendering(template, window), [], [], 0, []
-    out.append(rendering.start)
-    at = len(rendering.start)
+    rendering, held, own = Rendering(template, window), [], []
+    out, spans, at = [rendering.start], [], len(rendering.start)
     for n, turn in enumerate(turns):
-        if n and n % window == 0:
-            yield (template(own), [], True) if rendering.rewrites else ("".join(out), spans, False)
-            out, spans, at, own = [], [], 0, []
-        own.append(turn)
+        if n and n % window == 0 and not rendering.rewrites:
+            part = "".join(out), spans, False
+            if rendering.reach is None:
+                held.append(part)
+            else:
+                yield part
+            out, spans, at = [], [], 0
+        if rendering.reach is None:
+            own.append(turn)
         grown = rendering.add(turn)
         if grown is not None:
             text, head, tail = grown
             out.append(text)
             spans.append((turn[0], at, at + head, at + tail, at + len(text)))
             at += len(text)
-    yield (template(own), [], True) if rendering.rewrites else ("".join(out), spans, False)
+    if rendering.rewrites:
+        yield template(own), [], True
+    else:
+        yield from held
+        yield "".join(out), spans, False
 
 
 def _conversations(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, Iterator[Turn]]]:
