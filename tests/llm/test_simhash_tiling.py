@@ -88,6 +88,26 @@ def test_keys_of_near_fingerprints_meet():
         assert np.abs(table.distances(np.array([a, b], "u8")).astype(int)).max() <= 64
 
 
+@pytest.mark.parametrize("blocks", simhash.LADDER)
+def test_coordinates_tell_all_values_of_a_block_apart(blocks):
+    table = simhash.PivotTable(blocks)
+    for b, (mask, width) in enumerate(zip(table.masks, table.widths)):
+        values = np.arange(1 << int(width), dtype="u8") * (mask & -mask)
+        inside = table.coordinates(table.distances(values))[:, b]
+        assert len(np.unique(inside, axis=0)) == len(values)
+
+
+def test_last_keys_hold_no_more_than_their_free_bits_allow():
+    """All values of the blocks that six random bases did not tell apart: no key has more than 4096 of them."""
+    table, bits = simhash.PivotTable(simhash.LADDER[-1]), [*range(28, 36), *range(44, 48), *range(0, 3)]
+    values = np.zeros(1, "u8")
+    for b in bits:
+        values = np.concatenate([values, values | np.uint64(1 << b)])
+    rnd = np.random.default_rng(1)
+    keys = table.keys(values)
+    assert max(np.unique(keys[:, c], return_counts=True)[1].max() for c in rnd.choice(keys.shape[1], 40, replace=False)) <= 4096
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, nothing):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(odd_rows())
@@ -104,10 +124,20 @@ def test_deduplicate_keeps_one_of_each_group(spark, odd, nothing):
     kept = simhash.deduplicate(odd)
     assert kept.columns == odd.columns
     ids = sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is None, x or 0))
-    assert ids == [0, 3, 4, 6, 7, 8, None, None]
+    assert ids == [0, 3, 4, 6, 7, 8, None]
     assert simhash.deduplicate(nothing).count() == 0
 
 
+def test_deduplicate_tells_rows_of_one_id_apart_by_their_texts(spark):
+    one, other, third = "a text about one thing and more of it", "quite another story with no word shared", "the last of three that have nothing alike"
+    rows = [(1, one, "b"), (1, other, "c"), (2, other, "c"), (1, one, "a"), (1, one, "a"), (None, third, "x"), (None, third, "x"), (None, one, "y"), (7, third.upper(), "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = sorted(((r["doc_id"], r["text"]) for r in simhash.deduplicate(df).collect()), key=str)
+    assert found == sorted([(1, one), (1, other), (7, third.upper())], key=str)
+    again = [sorted(tuple(r) for r in simhash.deduplicate(df.repartition(n, "source")).collect()) for n in (1, 3)]
+    assert again[0] == again[1] == sorted(tuple(r) for r in simhash.deduplicate(df).collect())
+
+
 def plain_tiles(a, b, least):
     """Greedy string tiling as it is told: the longest unmarked match of all, again and again."""
     ma, mb, covered = [x < 0 for x in a], [False] * len(b), 0

@@ -3,18 +3,20 @@
 Fingerprints: lower-cased A-Z, words `[^\\x20\\x09-\\x0D]+`, 3-word shingles with repeats, XXH64 with seed 42; a bit is 1 if
 it is set in over half the hashes. No word gives fingerprint zero; null text counts as empty.
 
-Search. The pivots are full 64-bit reference fingerprints: `bases` fixed ones, and each of them with one block of bits
+Search. The pivots are full 64-bit reference fingerprints: some fixed bases, and each of them with one block of bits
 flipped. A fingerprint's row in the table is its Hamming distance to every pivot. Distances to a base and to the base
 with block b flipped differ by twice the fingerprint's distance to the base inside b, less the block's width, so the
-table also gives a coordinate for every base and block. Two fingerprints at most `radius` apart differ in at most
-`radius` blocks, hence their coordinates agree in `blocks - radius` blocks: those coordinates, for every choice of
-blocks, are the join keys. Within a key, pairs with a coordinate of the table further apart than the radius are
-discarded (Hamming distance is a metric), and the survivors are verified on the fingerprints.
+table also gives a coordinate for every base and block. There are as many bases as it takes for the coordinates of a block
+to be different for all values of its bits (the bases' signs have full rank in every block). Two fingerprints at most
+`radius` apart differ in at most `radius` blocks, hence their coordinates agree in `blocks - radius` blocks: those
+coordinates, for every choice of blocks, are the join keys. Within a key, pairs with a coordinate of the table further apart
+than the radius are discarded (Hamming distance is a metric), and the survivors are verified on the fingerprints.
 
 Only different fingerprints take part, so exact copies cost one row. A key with more than `most` fingerprints is not
-compared as one group: its fingerprints are keyed again with 16 blocks of 4 bits. Such a key leaves 12 free bits and so
-never holds more than 4096 fingerprints, whatever the input; no pair is lost and no group is unbounded. A group
-gives a spanning forest of its links, not all pairs.
+compared as one group: its fingerprints are keyed again with more and smaller blocks (LADDER). The last keys, 13 of 16 blocks
+of 4 bits for the radius of 3, leave 12 bits free and so never hold more than 4096 fingerprints, whatever the input (16 to the
+power of the radius in general); no pair is lost and no group is unbounded. A group gives a spanning forest of its links, not
+all pairs.
 """
 
 from __future__ import annotations
@@ -30,11 +32,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import cut, prepare
 
 RADIUS = 3
-#: Blocks of the first keys: pairs agree in 3 of 6 blocks, about 32 bits, under one of 20 keys.
-BLOCKS = 6
-BASES = 8
-FINE_BLOCKS = 16
-FINE_BASES = 6
+#: Numbers of blocks, one after the other: pairs agree in 3 of 6 blocks, about 32 bits, under one of 20 keys, then in 7 of 10
+#: (45 bits, 120 keys) and 13 of 16 (52 bits, 560 keys).
+LADDER = (6, 10, 16)
 MOST_IN_GROUP = 4096
 
 
@@ -59,26 +59,38 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.fromiter((fingerprint(x.as_py()) for x in batch.column("text")), "u8", batch.num_rows).view("i8")
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tail"), pa.array(prints)], names=["doc_id", "tail", "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row; null ids stay null."""
-    return prepare(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tail: Column | None = None) -> DataFrame:
+    """doc_id, tail (a long that tells rows of one id apart, 0 by default) and fp (the 64 bits as a signed long) of every row; null ids stay null."""
+    rows = prepare(docs).select(F.col(id_col).cast("long").alias("doc_id"), (F.lit(0) if tail is None else tail).cast("long").alias("tail"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, tail long, fp long")
 
 
 class PivotTable:
     """Pivots for a division of 64 bits into blocks, and what follows from the distances to them."""
 
-    def __init__(self, blocks: int = BLOCKS, bases: int = BASES, radius: int = RADIUS):
+    def __init__(self, blocks: int = LADDER[0], radius: int = RADIUS):
         edges = [64 * i // blocks for i in range(blocks + 1)]
         self.widths = np.diff(edges)
         self.masks = np.array([((1 << int(w)) - 1) << int(a) for a, w in zip(edges, self.widths)], "u8")
-        self.bases = np.array([xxhash.xxh64_intdigest(b"pivot", i) for i in range(bases)], "u8")
+        self.bases = self._separating()
         self.pivots = np.concatenate([self.bases, (self.bases[:, None] ^ self.masks[None, :]).ravel()])
         self.radius, self.blocks = radius, blocks
         self.choices = list(combinations(range(blocks), blocks - radius))
 
+    def _separating(self) -> np.ndarray:
+        """Bases until each block's signs have full rank: a distance inside a block is that of zero to the base, plus the sum of
+        the signs of the bits that are set, so the distances to all bases then give the bits."""
+        bases: list[int] = []
+        while True:
+            bases.append(xxhash.xxh64_intdigest(b"pivot", len(bases)))
+            signs = np.array([[1 - 2 * (base >> bit & 1) for bit in range(64)] for base in bases])
+            ends = np.cumsum(self.widths)
+            if all(np.linalg.matrix_rank(signs[:, end - w : end]) == w for end, w in zip(ends, self.widths)):
+                return np.array(bases, "u8")
+
     def distances(self, prints: np.ndarray) -> np.ndarray:
         """The table: a row for each fingerprint, a column for each pivot."""
         return np.bitwise_count(prints[:, None] ^ self.pivots[None, :]).astype("i1")
@@ -159,19 +171,22 @@ def _groups(keyed: DataFrame, sizes: DataFrame) -> DataFrame:
 def links(prints: DataFrame, radius: int = RADIUS, most: int = MOST_IN_GROUP) -> DataFrame:
     """Pairs (a, b) of different fingerprints joined by links of at most `radius` bits: enough to connect every component.
 
-    prints: the different values of `fp`, already cut.
+    prints: the different values of `fp`, already cut. radius is at most 5, one less than the first number of blocks.
     """
-    coarse = PivotTable(BLOCKS if radius < BLOCKS else radius + 2, BASES, radius)
-    keyed = _keyed(prints, coarse)
-    sizes = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), narrow=True)
-    found = _linked(_groups(keyed, sizes.filter(F.col("n") <= most).select("key")), coarse)
-    hot = sizes.filter(F.col("n") > most).select("key")
-    if hot.take(1):
-        fine = PivotTable(FINE_BLOCKS, FINE_BASES, radius)
-        again = _keyed(cut(keyed.join(hot, "key", "left_semi").select("fp").distinct(), narrow=True), fine)
-        shared = again.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-        found = found.unionByName(_linked(_groups(again, shared), fine))
-    return found.distinct()
+    if not 0 <= radius < LADDER[0]:
+        raise ValueError(f"the radius must be less than {LADDER[0]}")
+    found, left = None, prints
+    for blocks in LADDER:
+        pivots = PivotTable(blocks, radius)
+        keyed = _keyed(left, pivots)
+        sizes = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), narrow=True)
+        few = sizes if blocks == LADDER[-1] else sizes.filter(F.col("n") <= most)
+        pairs = _linked(_groups(keyed, few.select("key")), pivots)
+        found = pairs if found is None else found.unionByName(pairs)
+        hot = sizes.filter(F.col("n") > most).select("key")
+        if blocks == LADDER[-1] or not hot.take(1):
+            return found.distinct()
+        left = cut(keyed.join(hot, "key", "left_semi").select("fp").distinct(), narrow=True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -202,28 +217,39 @@ def hex_of(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, most: int = MOST_IN_GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links) of every row.
-
-    Rows that repeat an id or a text get the same component; a null id stays null and is never a component's id unless
-    no member has another. An empty table gives no rows. Other columns are not read.
-    """
-    prints = cut(fingerprints(docs, id_col, text_col))
+def _rooted(prints: DataFrame, radius: int, most: int) -> DataFrame:
+    """fp, root (the component's smallest fingerprint, as a signed long) and component_id of every different fingerprint."""
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), narrow=True)
     of = components(links(classes.select("fp"), radius, most))
     rooted = classes.join(of, classes.fp == of.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted, narrow=True)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labelled = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(labelled, "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, most: int = MOST_IN_GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links) of every row.
+
+    Every row has the component of its own text, also where rows repeat an id; a null id stays null and is never a component's
+    id unless no member has another. An empty table gives no rows. Other columns are not read.
+    """
+    prints = cut(fingerprints(docs, id_col, text_col))
+    return prints.join(_rooted(prints, radius, most), "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS, most: int = MOST_IN_GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: the one whose id is the component's, once if rows repeat it.
+    """docs with one row of each component of texts.
 
-    Rows with a null id cannot be named as the one to keep, nor as a copy of it, and stay.
+    Of a component the row with the smallest id stays; a null id comes after all others. Of several rows with that id, whose
+    texts or other columns differ, the one with the smallest hash of text and other columns stays, so the choice is the
+    same each time, and a row with the same id but a text of another component is never dropped for it. Rows alike in all
+    columns stay once. Other columns take part only as JSON in that hash.
     """
-    found = near_duplicates(docs, radius, most, id_col, text_col)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept_id")).distinct()
-    stay = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept_id"), "left_semi").dropDuplicates([id_col])
-    return stay.unionByName(docs.filter(F.col(id_col).isNull()))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    tail = F.xxhash64(F.col(text_col), *([F.to_json(F.struct(*others))] if others else []))
+    prints = cut(fingerprints(docs, id_col, text_col, tail))
+    first = prints.join(_rooted(prints, radius, most), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = first.groupBy("root", "doc_id").agg(F.min("tail").alias("__tail")).select(F.col("doc_id").alias("__id"), "__tail")
+    named = docs.withColumn("__own", tail)
+    stay = named.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tail")), "left_semi")
+    return stay.dropDuplicates([id_col, "__own"]).drop("__own")
