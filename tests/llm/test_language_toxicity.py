@@ -44,6 +44,26 @@ def test_estimate_is_expectation_maximisation():
     assert np.exp(langid.estimate(counts, PIECES, 3, rounds=1)) == pytest.approx(expected / expected.sum())
 
 
+def test_long_words_are_learned_like_short_ones(monkeypatch):
+    """Sums in logarithms against the linear ones, and a word of 80 letters that no linear product could hold."""
+    counts = {"ab": 3, "aba": 2, "bbabaab": 4, "cab": 1}
+    linear = langid.estimate(counts, PIECES, 3, rounds=3)
+    monkeypatch.setattr(langid, "LONGEST_LINEAR", 1)
+    assert langid.estimate(counts, PIECES, 3, rounds=3) == pytest.approx(linear)
+    monkeypatch.undo()
+    without = langid.estimate({"ab": 1}, PIECES, 3, rounds=2)
+    for word, piece in (("ba" * 40, "ba"), ("b" * 3000, "b")):
+        learned = langid.estimate({"ab": 1, word: 5}, PIECES, 3, rounds=2)
+        assert learned[PIECES[piece]] > without[PIECES[piece]] + 1 and np.isfinite(learned).all()
+
+
+def test_numeric_signs_are_no_letters(spark):
+    assert langid.words("½ ² ① Ⅷ x²y 12 a_b É½é ´ 日本") == ["x", "y", "a", "b", "é", "é", "日本"]
+    rows = [*language_rows(), (1000, "½ ²", None), (1001, "12 ① _", None)]
+    found = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all((found[i]["lang_pred"], found[i]["score"]) == ("und", 0.0) for i in (1000, 1001))
+
+
 def language_rows(n=160):
     rnd = random.Random(3)
     kinds = {"xx": ["the", "and", "thing", "with", "other"], "yy": ["und", "der", "nicht", "schrift", "über"]}

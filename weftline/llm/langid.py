@@ -5,9 +5,10 @@ ways to cut it into pieces, of the product of their probabilities: the forward a
 character that no piece covers is a piece of its own at a fixed floor. Words are the lower-cased runs of letters of the
 whole text, written with the vocabulary's word mark in front; a text's log likelihood is the sum over its words.
 
-Training: counts of words of up to 64 letters come from at most `most_rows` labelled rows (the documented bound; ids in
-the order of their XXH64, so that the choice is the same each time). Expectation-maximisation then runs once per language:
-expected piece counts over all segmentations, from forward and backward sums, with additive smoothing.
+Training: counts of words come from at most `most_rows` labelled rows (the documented bound; ids in the order of their
+XXH64, so that the choice is the same each time). Expectation-maximisation then runs once per language: expected piece counts
+over all segmentations, from forward and backward sums, with additive smoothing. Words of over LONGEST_LINEAR letters are
+learned and scored in the same way, in logarithms.
 
 The score is the posterior probability of the predicted language, with the languages' shares of the training rows as
 prior. Defined cases: null, empty or letterless text gives `und` and score 0; with nothing learned every text is `und`;
@@ -17,6 +18,7 @@ alphabetical order. lang, source and ids are no input of a prediction. Extra col
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,15 +31,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import id_crc, prepare
 
+#: Runs of letters, and of numeric signs such as ½, which `words` takes out.
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 FLOOR = -18.0
 SMOOTHING = 0.01
 ROUNDS = 2
 MOST_ROWS = 1_000
-MOST_KNOWN = 250_000
-#: Longer runs of letters are scored but not remembered.
-LONGEST_KNOWN = 64
+#: Words, and characters of words, that a worker remembers.
+MOST_KNOWN, MOST_KNOWN_CHARS = 250_000, 8_000_000
+#: Probabilities of longer words are summed in logarithms.
+LONGEST_LINEAR = 64
+#: Every character's factor is raised by exp(SCALE), so that products over words of up to LONGEST_LINEAR letters stay in range.
+SCALE = 9.0
 
 
 def default_vocabulary() -> str:
@@ -61,7 +67,10 @@ def vocabulary(path: str) -> tuple[dict[str, int], int]:
 
 
 def words(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    found = LETTERS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join([c if c.isalpha() else " " for c in run]).split()]
 
 
 def arcs(word: str, pieces: dict[str, int], longest: int) -> list[tuple[int, int, int]]:
@@ -97,6 +106,22 @@ def forward(word: str, logp: np.ndarray, pieces: dict[str, int], longest: int) -
     return sums[n]
 
 
+def _log_sum(a: float, b: float) -> float:
+    a, b = max(a, b), min(a, b)
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
+def _shares_in_logs(lattice: list[tuple[int, int, int]], own: list[float], n: int) -> list[float]:
+    """For each arc the share of all segmentations that go through it; own has the arcs' log probabilities."""
+    ahead, back = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+    ahead[0] = back[n] = 0.0
+    for (a, b, _), q in zip(lattice, own):
+        ahead[b] = _log_sum(ahead[b], ahead[a] + q)
+    for (a, b, _), q in zip(reversed(lattice), reversed(own)):
+        back[a] = _log_sum(back[a], back[b] + q)
+    return [math.exp(ahead[a] + q + back[b] - ahead[n]) for (a, b, _), q in zip(lattice, own)]
+
+
 def estimate(counts: dict[str, int], pieces: dict[str, int], longest: int, rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> np.ndarray:
     """Log probabilities of the pieces of one language, by expectation-maximisation over its counted words."""
     lattices = [(arcs(w, pieces, longest), c, len(w) + 1) for w, c in counts.items()]
@@ -106,19 +131,23 @@ def estimate(counts: dict[str, int], pieces: dict[str, int], longest: int, round
             if p >= 0:
                 expected[p] += c / len(lattice)
     logp = np.log(expected / expected.sum())
-    floor = np.exp(FLOOR)
+    floor, raised = math.exp(FLOOR), [math.exp(SCALE * k) for k in range(max(longest, 1) + 1)]
     for _ in range(rounds):
-        prob = np.exp(logp)
+        prob = np.exp(logp).tolist()
         expected = np.full(len(pieces), smoothing)
         for lattice, c, n in lattices:
-            own = [prob[p] if p >= 0 else floor for _, _, p in lattice]
+            if n > LONGEST_LINEAR + 1:
+                shares = _shares_in_logs(lattice, [float(logp[p]) if p >= 0 else FLOOR for _, _, p in lattice], n)
+                for (_, _, p), x in zip(lattice, shares):
+                    if p >= 0:
+                        expected[p] += c * x
+                continue
+            own = [raised[b - a] * (prob[p] if p >= 0 else floor) for a, b, p in lattice]
             ahead, back = [0.0] * (n + 1), [0.0] * (n + 1)
             ahead[0] = back[n] = 1.0
             for (a, b, _), q in zip(lattice, own):
                 ahead[b] += ahead[a] * q
             total = ahead[n]
-            if total < 1e-280:  # very long words: their pieces were counted in the first estimate
-                continue
             for (a, b, _), q in zip(reversed(lattice), reversed(own)):
                 back[a] += back[b] * q
             for (a, b, p), q in zip(lattice, own):
@@ -149,7 +178,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for lang, text in zip(batch.column("lang"), batch.column("text")):
             name = lang.as_py()
-            counts.update((name, w) for w in words(text.as_py()) if len(w) <= LONGEST_KNOWN)
+            counts.update((name, w) for w in words(text.as_py()))
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
 
 
@@ -168,7 +197,7 @@ def train(docs: DataFrame, path: str | None = None, most_rows: int = MOST_ROWS,
     return Model(langs, prior, logp, path)
 
 
-@lru_cache(maxsize=LONGEST_KNOWN + 2)
+@lru_cache(maxsize=LONGEST_LINEAR + 2)
 def _arcs_of(n: int, longest: int) -> tuple[list[tuple[int, int]], list[int]]:
     """(start, end) of all stretches of a marked word of n characters, by end; and where those of each end begin."""
     spans, begins = [], [0]
@@ -178,10 +207,6 @@ def _arcs_of(n: int, longest: int) -> tuple[list[tuple[int, int]], list[int]]:
     return spans, begins
 
 
-#: Every character's factor is raised by exp(SCALE), so that products over words of up to LONGEST_KNOWN letters stay in range.
-SCALE = 9.0
-
-
 def scaled(logp: np.ndarray, pieces: dict[str, int]) -> np.ndarray:
     """Raised probabilities with a row for each piece, the floor and, last, a zero for stretches that are no piece."""
     sizes = np.array([*map(len, pieces), 1])
@@ -215,6 +240,7 @@ class Scorer:
 
     def _forget(self) -> None:
         self._at: dict[str, int] = {}
+        self._chars = 0
         self._rows = np.zeros((1024, len(self.model.langs)))
 
     def _learn(self, words: set[str]) -> None:
@@ -227,16 +253,17 @@ class Scorer:
         for n, own in by_length.items():
             for at in range(0, len(own), 512):
                 block = own[at : at + 512]
-                found = [forward(w, self.model.logp, self.pieces, self.longest) for w in block] if n > LONGEST_KNOWN else forward_many(block, self._table, self.pieces, self.longest)
+                found = [forward(w, self.model.logp, self.pieces, self.longest) for w in block] if n > LONGEST_LINEAR else forward_many(block, self._table, self.pieces, self.longest)
                 start = len(self._at)
                 self._rows[start : start + len(block)] = found
                 self._at.update(zip(block, range(start, start + len(block))))
+            self._chars += n * len(own)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         own = [words(t) for t in texts]
         if not self.model.langs:
             return [("und", 0.0)] * len(own)
-        if len(self._at) > MOST_KNOWN:
+        if len(self._at) > MOST_KNOWN or self._chars > MOST_KNOWN_CHARS:
             self._forget()
         new = set().union(*own).difference(self._at)
         if new:
