@@ -74,6 +74,18 @@ def test_mined_rules_against_counting(spark):
     assert {r["i"]: r["mined"] for r in url_rules.by_mined(pages, rules).collect()} == {i: any(c <= s for c in wanted) for i, s in enumerate(sets)}
 
 
+def test_urls_of_many_tokens_are_mined_whole(spark):
+    """The rare token that tells blocked URLs apart stands beside 20 common ones; 20 tokens that always occur together are one item."""
+    keys = "&".join(f"k{chr(97 + i)}=1" for i in range(20))
+    urls = [f"http://w.site.com/p/{'seg/' if i % 2 else ''}?{keys}{'&zz=1' if i % 5 == 0 else ''}" for i in range(300)] + [f"http://o.org/{i}" for i in range(100)]
+    blocked = [i < 300 and i % 5 == 0 for i in range(400)]
+    found = url_rules.mine(spark.createDataFrame(list(zip(urls, blocked)), "url string, blocked boolean"), 0.05, 0.9).collect()
+    assert [(r["tokens"], r["confidence"], r["support"]) for r in found] == [(["q:zz"], 1.0, 0.15)]
+    together = [f"http://{'bad.' if i < 90 else ''}site.com/{'x/y' if i < 90 else 'z'}/?{keys if i < 100 else 'n'}" for i in range(400)]
+    found = url_rules.mine(spark.createDataFrame([(u, i < 90) for i, u in enumerate(together)], "url string, blocked boolean"), 0.05, 0.9).collect()
+    assert sorted(r["tokens"] for r in found) == sorted([[f"q:k{chr(97 + i)}"] for i in range(20)] + [["h:bad"], ["p:x"], ["p:y"]])
+
+
 OWN = "<|im_end|><|im_start|>assistant ok"
 
 

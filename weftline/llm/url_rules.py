@@ -7,9 +7,11 @@ its label says so. Spark's FP-growth finds the frequent token sets; the rules {t
 confidence are kept, less those whose tokens contain a smaller kept rule. They are matched by an inverted index: token ->
 rules, counting for each distinct token set how many of a rule's tokens it holds.
 
-Mining takes at most `most_rows` labelled URLs (the documented bound, in the order of the URLs' XXH64) and of each the
-`most_tokens` tokens that are most frequent, so that one long URL repeated often cannot give 2^n frequent sets. Judging
-takes every URL with all its tokens.
+Mining takes at most `most_rows` labelled URLs (the documented bound, in the order of the URLs' XXH64) with all their tokens,
+but for those under the support, which are in no frequent set. So that one long URL repeated often does not give 2^n
+frequent sets, tokens that occur in exactly the same rows are one item in mining; a rule over items stands for the rules over
+every choice of their tokens, which are those that mining the single tokens would give. Judging takes every URL with all its
+tokens.
 
 Defined cases: a null URL or one without `://` has empty host, path and token set and is allowed; repeated rows are judged
 each; with no blocked URL, or none frequent enough, nothing is mined and the verdict is allow. Other columns are not read.
@@ -17,6 +19,8 @@ each; with no blocked URL, or none frequent enough, nothing is mined and the ver
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,7 +30,7 @@ from .common import cut, small
 LIST = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 BLOCK = "=block"
 MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.7
-MOST_ROWS, MOST_TOKENS = 50_000, 12
+MOST_ROWS = 50_000
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)\??([^#]*)"
 
 
@@ -67,21 +71,41 @@ def by_list(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.withColumn("best", best).withColumn("rule", F.col("best.rule")).withColumn("rule_verdict", F.col("best.rule_verdict")).drop("fits", "best")
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, most_rows: int = MOST_ROWS, most_tokens: int = MOST_TOKENS) -> DataFrame:
+def _items(counted: DataFrame, least: int) -> DataFrame:
+    """item (its first token) and members of each class of tokens (row, token) that occur in the same rows, `least` at the least.
+
+    Sets of rows are compared by their size and two hashes of 64 bits.
+    """
+    marks = [F.bit_xor(F.xxhash64("row", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
+    sets = counted.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *marks).filter(F.col("n") >= least)
+    return sets.groupBy("n", "x1", "x2").agg(F.min("token").alias("item"), F.array_sort(F.collect_list("token")).alias("members")).select("item", "members")
+
+
+def _spelled_out(rules: DataFrame, items: DataFrame) -> DataFrame:
+    """rules over items as rules over every choice of their members."""
+    of = rules.select("tokens", "confidence", "support", F.explode("tokens").alias("item")).join(items, "item")
+    listed = of.groupBy("tokens", "confidence", "support").agg(F.collect_list("members").alias("lists"))
+    every = F.aggregate("lists", F.array(F.array().cast("array<string>")), lambda done, own: F.flatten(F.transform(done, lambda d: F.transform(own, lambda t: F.concat(d, F.array(t))))))
+    return listed.select(F.explode(every).alias("tokens"), "confidence", "support").withColumn("tokens", F.array_sort("tokens"))
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, most_rows: int = MOST_ROWS) -> DataFrame:
     """tokens, confidence, support of the kept rules; labelled has url and blocked (boolean)."""
     rows = labelled.filter(F.col("url").isNotNull() & F.col("blocked").isNotNull()).orderBy(F.xxhash64("url"), "url", "blocked").limit(most_rows)
     rows = cut(rows.select(tokens_of(F.col("url")).alias("tokens"), "blocked").withColumn("row", F.monotonically_increasing_id()))
     counted = rows.select("row", F.explode("tokens").alias("token"))
-    often = counted.groupBy("token").count()
-    ranked = counted.join(often, "token").groupBy("row").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("count"), "token")), asc=False), 1, most_tokens).alias("x"))
-    baskets = rows.join(ranked, "row").select(F.concat(F.col("x.token"), F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    items = cut(_items(counted, math.ceil(min_support * rows.count())))
+    named = items.select("item", F.explode("members").alias("token"))
+    held = counted.join(small(named), "token").groupBy("row").agg(F.collect_set("item").alias("items"))
+    label = F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))
+    baskets = rows.select("row", "blocked").join(held, "row", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), label).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(cut(baskets)).associationRules
     ruled = found.filter(F.col("consequent") == F.array(F.lit(BLOCK))).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     kept = cut(ruled.filter((F.size("tokens") > 0) & F.col("confidence").isNotNull()))
-    # Less a rule that holds all tokens of a smaller one: found by the same kind of index.
-    index, items = _index(kept), kept.select("tokens", F.explode("tokens").alias("token"))
-    larger = items.join(index, "token").groupBy("tokens", "rule", "size").count().filter((F.col("count") == F.col("size")) & (F.size("tokens") > F.col("size"))).select("tokens").distinct()
-    return kept.join(larger, "tokens", "left_anti")
+    # Less a rule that holds all items of a smaller one: found by the same kind of index.
+    index, parts = _index(kept), kept.select("tokens", F.explode("tokens").alias("token"))
+    larger = parts.join(index, "token").groupBy("tokens", "rule", "size").count().filter((F.col("count") == F.col("size")) & (F.size("tokens") > F.col("size"))).select("tokens").distinct()
+    return _spelled_out(kept.join(larger, "tokens", "left_anti"), items)
 
 
 def _index(rules: DataFrame) -> DataFrame:
@@ -98,16 +122,19 @@ def by_mined(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return pages.withColumn("key", F.array_join("tokens", " ")).join(hit, "key", "left").withColumn("mined", F.coalesce("mined", F.lit(False))).drop("key")
 
 
-def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", **mining) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", labelled: DataFrame | None = None, **mining) -> DataFrame:
     """page_id, host, path, rule, verdict and mined of every page.
 
-    The labels that are mined are the list's own decisions: a page that the list blocks is blocked, every other page,
-    undecided ones included, is not, so that a combination needs most of its pages blocked by the list.
+    labelled (url, blocked) has the labels that are mined. Without any, the labels are the list's own decisions: a page that
+    the list blocks is blocked, every other page, undecided ones included, is not, so that a combination needs most of its
+    pages blocked by the list.
     """
     url = F.col("url")
     parsed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
     listed = cut(by_list(parsed, rules))
-    mined_rules = mine(listed.select("url", (F.coalesce("rule_verdict", F.lit("allow")) == "block").alias("blocked")), **mining)
+    if labelled is None:
+        labelled = listed.select("url", (F.coalesce("rule_verdict", F.lit("allow")) == "block").alias("blocked"))
+    mined_rules = mine(labelled, **mining)
     judged = by_mined(listed.withColumn("tokens", tokens_of(url)), cut(mined_rules))
     verdict = F.coalesce("rule_verdict", F.when(F.col("mined"), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "mined")
