@@ -62,6 +62,33 @@ def test_large_ids_beside_null_ones_are_exact(spark):
     assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [None, -(2**61) - 1, 2**62 + 1, 2**62 + 3]
 
 
+@pytest.fixture
+def uncoalesced(spark):
+    """Small shuffles keep their partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_runs_of_one_key_over_several_shards(spark, whole, uncoalesced):
+    """Half of all rows have one key or none: they are split, and every read gives them all, in the same order."""
+    rows = [(None, f"none {i % 40}") for i in range(80)] + [(5, f"five {i}") for i in range(120)] + [(i, f"own {i}") for i in range(100, 140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    stored = []
+    for n in (1, 2):
+        uri = shared_uri(spark, "store")
+        manifest = token_store.write_store(docs.repartition(n, "text"), uri)
+        store = token_store.TokenStore(uri)
+        assert len(manifest["docs"]) > 2 and max(manifest["docs"].values()) < 120 and sum(manifest["docs"].values()) == len(rows)
+        ids = lambda key: [x.tolist() for x in store.ids(key)]
+        for key in (None, 5, 100):
+            assert sorted(ids(key)) == sorted([*whole(t), 2] for k, t in rows if k == key)
+        got = sorted(tuple(r) for r in [(r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_store.read_store(docs, uri, manifest).collect()])
+        assert len(got) == len(rows) and got[0][0] == 0 and all(a[0] + a[2] == b[0] for a, b in itertools.pairwise(got))
+        stored.append((got, ids(None), ids(5)))
+    assert stored[0] == stored[1]
+
+
 def test_empty_store(spark, nothing):
     uri = shared_uri(spark, "store")
     manifest = token_store.write_store(nothing, uri)
@@ -107,6 +134,14 @@ def test_packing(spark, odd, nothing, whole):
     assert packing.pack(nothing).count() == 0
 
 
+def test_equal_lengths_without_ids_are_dealt_whole(spark, uncoalesced):
+    docs = spark.createDataFrame([(None, "same text")] * 300 + [(i, "a longer text than that") for i in range(10)], "doc_id long, text string").repartition(4)
+    rows = packing.pack(docs, buckets=2, budget=40).collect()
+    of = [r for r in rows if r["doc_id"] is None]
+    size = 40 // of[0]["bucket"]
+    assert sorted((r["batch"], r["slot"]) for r in of) == [(i // size, i % size) for i in range(300)] and len(rows) == 310
+
+
 def test_histogram_of_very_different_lengths_stays_small(spark):
     df = spark.createDataFrame([(n,) for n in (1, 2, 1000, 1001, 99_999)], "n_tokens long")
     lengths, counts = packing.histogram(df, finest=100)

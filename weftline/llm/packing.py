@@ -4,7 +4,8 @@ Lengths are numbers of token ids of the whole text with the end id. One pass giv
 dynamic programme over it picks at most `buckets` upper bounds so that the padding, the sum over all rows of its
 bucket's bound less its length, is the least possible. Rows of a bucket, in order of length and id, are dealt into batches
 of as many rows as fit the token budget at the bucket's bound, at least one. Positions are global: rows are sorted by
-range, counted by partition and bucket, and numbered from these counts, so no bucket is gathered in one task.
+range, counted by partition and bucket, and numbered from these counts, so no bucket is gathered in one task. Rows alike in
+length and id, such as many of a null id, are told apart by their number in the written table of lengths and split as well.
 
 What comes to the driver is the histogram, exact, with a row for each length that occurs. d different lengths take
 1 + 2 + ... + d tokens at least, so there are at most sqrt(2 x tokens of the table) rows. Only a caller that passes `finest`
@@ -94,12 +95,13 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET, vo
     bounds = optimal_bounds(*histogram(measured), buckets)
     if not bounds:
         return measured.select("doc_id", "n_tokens", *[F.lit(0).cast("long").alias(c) for c in ("bucket", "batch", "slot", "padding")])
+    measured = measured.withColumn("row", F.monotonically_increasing_id())
     bucket = F.element_at(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b >= F.col("n_tokens")), 1)
-    dealt = cut(measured.withColumn("bucket", bucket).repartitionByRange("bucket", "n_tokens", "doc_id").withColumn("part", F.spark_partition_id()))
+    dealt = cut(measured.withColumn("bucket", bucket).repartitionByRange("bucket", "n_tokens", "doc_id", "row").withColumn("part", F.spark_partition_id()))
     counts = dealt.groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("rows"))
     # A row for each partition and the few buckets in it: bounded by the number of partitions, not of rows.
     before = counts.withColumn("before", F.coalesce(F.sum("rows").over(Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("part", "bucket").orderBy("n_tokens", "doc_id")) - 1
+    within = F.row_number().over(Window.partitionBy("part", "bucket").orderBy("n_tokens", "doc_id", "row")) - 1
     size = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket"))).cast("long")
     placed = dealt.withColumn("within", within).join(F.broadcast(before.drop("rows")), ["part", "bucket"]).withColumn("at", F.col("within") + F.col("before"))
     return placed.select("doc_id", "n_tokens", "bucket", F.floor(F.col("at") / size).cast("long").alias("batch"), (F.col("at") % size).cast("long").alias("slot"), (F.col("bucket") - F.col("n_tokens")).alias("padding"))

@@ -5,14 +5,17 @@ Layout of a store (a folder that every executor reaches):
 * ``ids-SSSSSSSS.bin``   little-endian ids of all documents of a shard, in ascending key order, end id included;
 * ``len-SSSSSSSS.bin``   one little-endian 8-byte length per document of the shard, in the same order;
 * ``idx-PPPPPPPP.bin``   one index partition: header, pilots of the hash buckets, then one slot per distinct key;
-* ``manifest.json``      id width, end id, number of index partitions, ids before each shard.
+* ``manifest.json``      id width, end id, number of index partitions, documents of and ids before each shard.
 
 A key's index partition, bucket and slot follow from its XXH64 and the bucket's pilot; the slot keeps a 64-bit
 fingerprint of the key with the place of its ids. A keyed read is three bounded reads whatever the store's size.
 
 Defined cases: null text is an empty text (only the end id is written); a null key is stored first, under its own hash;
-rows that repeat a key are stored one after the other and one slot points at the whole run; an empty table gives a
-store without shards. Only the key and the text column are read, so other columns may have any names.
+rows that repeat a key are stored one after the other, in the order of their texts' XXH64 and then of the texts, null
+first, so that the store is the same each time, and one slot points at the whole run. A run may go on in the next shards:
+rows of one key are split by the hash of their texts, and only rows alike in key and text, which are written as a stream,
+share a shard whatever their number. An empty table gives a store without shards. Only the key and the text column are
+read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ SLOT = np.dtype([("print", "<u8"), ("shard", "<u4"), ("count", "<u4"), ("first",
 #: Number of buckets and of keys.
 HEAD, HEAD_SIZE = "<QQ", 16
 META = "key long, shard int, first long, offset long, n long"
+#: A shard and a place in it as one number: more than all ids that fit in a shard.
+SHARD = 1 << 44
 
 
 def _open(uri: str):
@@ -161,20 +166,34 @@ def write_store(docs: DataFrame, uri: str, vocabulary: str | None = None, end_id
     files, base = _open(uri)
     files.create_dir(base, recursive=True)
     rows = prepare(docs).select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("key").sortWithinPartitions("key").withColumn("shard", F.spark_partition_id())
+    rows = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange("key", "hash").sortWithinPartitions("key", "hash", "text").drop("hash").withColumn("shard", F.spark_partition_id())
     meta = cut(rows.mapInArrow(_shard_writer(uri, vocabulary, end_id), META))
     totals = {r["shard"]: (r["docs"], r["ids"]) for r in meta.groupBy("shard").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("ids")).collect()}
-    runs = meta.groupBy("key").agg(F.first("shard").alias("shard"), F.min("first").alias("first"), F.min("offset").alias("offset"), F.count(F.lit(1)).alias("count"))
+    at = F.col("shard").cast("long") * SHARD
+    runs = meta.groupBy("key").agg(F.min(at + F.col("first")).alias("first"), F.min(at + F.col("offset")).alias("offset"), F.count(F.lit(1)).alias("count"))
+    runs = runs.select("key", F.expr(f"first div {SHARD}").cast("int").alias("shard"), (F.col("first") % SHARD).alias("first"), (F.col("offset") % SHARD).alias("offset"), "count")
     parts = max(1, -(-sum(d for d, _ in totals.values()) // KEYS_PER_PARTITION))
     runs.withColumn("part", _part(F.col("key"), parts)).withColumn("key", F.col("key").cast("string")).groupBy("part").applyInPandas(_index_writer(uri), "part long, keys long").agg(F.sum("keys")).collect()
     before, starts = 0, {}
     for shard in sorted(totals):
         starts[shard], before = before, before + totals[shard][1]
-    manifest = {"dtype": encoder(vocabulary).dtype.str, "end_id": end_id, "parts": parts, "starts": {str(k): v for k, v in starts.items()}, "ids": before}
+    manifest = {"dtype": encoder(vocabulary).dtype.str, "end_id": end_id, "parts": parts, "docs": {str(k): totals[k][0] for k in sorted(totals)}, "starts": {str(k): v for k, v in starts.items()}, "ids": before}
     _write(uri, "manifest.json", json.dumps(manifest).encode())
     return manifest
 
 
+def _pieces(place: dict, docs: dict[str, int]) -> Iterator[tuple[int, int, int, int]]:
+    """(shard, first, offset, count) of the part of a run in each shard, from the place where it begins."""
+    shard, first, offset, left = place["shard"], place["first"], place["offset"], place["count"]
+    for own in sorted(int(k) for k in docs if int(k) >= shard):
+        count = min(left, docs[str(own)] - first)
+        if count:
+            yield own, first, offset, count
+        first, offset, left = 0, 0, left - count
+        if not left:
+            return
+
+
 class TokenStore:
     """Keyed access to a store: `ids(key)` is the list of id arrays stored under the key, empty if there are none."""
 
@@ -200,16 +219,19 @@ class TokenStore:
         at = self.place(key)
         if at is None:
             return []
-        with self._files.open_input_file(f"{self._base}/len-{at['shard']:08d}.bin") as f:
-            lengths = np.frombuffer(f.read_at(8 * at["count"], 8 * at["first"]), "<u8").astype("i8")
-        with self._files.open_input_file(f"{self._base}/ids-{at['shard']:08d}.bin") as f:
-            size = self.dtype.itemsize
-            run = np.frombuffer(f.read_at(size * int(lengths.sum()), size * at["offset"]), self.dtype)
-        return np.split(run, np.cumsum(lengths)[:-1])
+        found: list[np.ndarray] = []
+        for shard, first, offset, count in _pieces(at, self.manifest["docs"]):
+            with self._files.open_input_file(f"{self._base}/len-{shard:08d}.bin") as f:
+                lengths = np.frombuffer(f.read_at(8 * count, 8 * first), "<u8").astype("i8")
+            with self._files.open_input_file(f"{self._base}/ids-{shard:08d}.bin") as f:
+                size = self.dtype.itemsize
+                run = np.frombuffer(f.read_at(size * int(lengths.sum()), size * offset), self.dtype)
+            found += np.split(run, np.cumsum(lengths)[:-1])
+        return found
 
 
-def _finder(uri: str, parts: int):
-    """Places of keys: an index partition is read once, then each key costs one pilot and one slot."""
+def _finder(uri: str, docs: dict[str, int]):
+    """Places of keys, one for each shard that a key's run lies in: an index partition is read once, then each key costs one pilot and one slot."""
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         files, base = _open(uri)
@@ -227,7 +249,7 @@ def _finder(uri: str, parts: int):
                 pilot = int(pilots[h % buckets])
                 found = slots[-pilot - 1 if pilot < 0 else _slot(h, pilot, n)]
                 if int(found["print"]) == key_hash(key, 1):
-                    rows.append((k, *(int(found[x]) for x in ("shard", "first", "offset", "count"))))
+                    rows += [(k, *piece) for piece in _pieces({x: int(found[x]) for x in ("shard", "first", "offset", "count")}, docs)]
         return pd.DataFrame(rows, columns=["key", "shard", "first", "offset", "count"])
 
     return find
@@ -264,7 +286,7 @@ def read_store(keys: DataFrame, uri: str, manifest: dict, id_col: str = "doc_id"
     """
     parts = manifest["parts"]
     asked = keys.select(F.col(id_col).cast("long").alias("key")).distinct().withColumn("part", _part(F.col("key"), parts)).withColumn("key", F.col("key").cast("string"))
-    places = asked.groupBy("part").applyInPandas(_finder(uri, parts), "key string, shard int, first long, offset long, count long")
+    places = asked.groupBy("part").applyInPandas(_finder(uri, manifest["docs"]), "key string, shard int, first long, offset long, count long")
     ordered = places.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
     found = ordered.mapInPandas(_reader(uri, manifest), "doc_id string, start long, n_tokens long, ids_crc32 long")
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
