@@ -9,8 +9,8 @@ import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Broadcasts are limited to this many rows; beyond it Spark plans a shuffled join.
-BROADCAST_ROWS = 20_000
+#: Broadcasts are limited to this many rows and bytes (as JSON); beyond either Spark plans a shuffled join.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 16 << 20
 
 
 #: Texts cross into Python in batches of at most so many rows and about so many bytes. Spark's defaults (10,000 rows, 64 MB)
@@ -33,10 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, set here only where the session names none."""
+    """The folder that driver and executors share. Only a local session that names none gets one of its own; on a cluster, where
+    a folder of one machine would be of no use, that is an error."""
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="weftline-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
@@ -65,9 +68,16 @@ def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast only if it was counted and has at most so many rows. df should be cheap to count."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def drop_folder(spark: SparkSession, uri: str) -> None:
+    """Deletes a folder that this session wrote, through Spark's file systems."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast only if it was counted and has at most so many rows and bytes. df should be cheap to count."""
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return F.broadcast(df) if found[0] <= rows and found[1] <= size else df
 
 
 def id_crc(col: Column) -> Column:
