@@ -105,3 +105,17 @@ def test_user_content(spark):
     df = spark.createDataFrame([("q", ""), ("q", None), ("q", "<c>")], "s string, c string")
     got = [r[0] for r in df.select(T.user_content(F.col("s"), F.col("c"))).collect()]
     assert got == ["q", "q", "Use the following context to answer the question:\n\n<context><c></context>\n\nQuestion: q"]
+
+
+def test_phrases_of_long_texts_take_linear_time(spark):
+    """Twenty times the words must not take hundreds of times as long."""
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(" ".join(f"w{i}{k}" for i in range(n)),) for k in range(40)], "s string")
+        began = time.perf_counter()
+        df.select(F.xxhash64(T.phrases(F.col("s")))).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    seconds(10)
+    assert seconds(10_000) < 20 * max(0.5, seconds(500))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.test_text import plain_phrases
 from weftline.functions import vectors as V
 from weftline.operators.embed import HashingProvider, OnnxProvider, PrecomputedProvider, bucket_of
-from weftline.operators.route import Registry, route, route_vectors
+from weftline.operators.route import Registry, Router, Scorer, route, route_rows, route_tables, route_vectors, score_vectors
 
 
 def cos(spark, a, b, kind="float"):
@@ -49,31 +49,40 @@ class Known:
         self.size = size
 
     def vector(self, text):
-        v = np.zeros(self.size)
+        v = np.zeros(self.size, "f4")
         for w in text.split():
             v[bucket_of(w, self.size)] += 1
         return v
 
 
+def plain_cosine(a, b):
+    """In single precision, number by number."""
+    f = np.float32
+    dot, na, nb = f(0), f(0), f(0)
+    for x, y in zip(a, b):
+        dot, na, nb = f(dot + f(f(x) * f(y))), f(na + f(f(x) * f(x))), f(nb + f(f(y) * f(y)))
+    scale = f(np.sqrt(na) * np.sqrt(nb))
+    return f(dot / scale) if scale else f(0)
+
+
 def sequential(text, registry, size, threshold):
     """The search as it is told, phrase by phrase."""
     known = Known(size)
 
     def best(phrase):
-        top, name = -1.0, None
+        top, name = np.float32(-1), None
         for n, e in registry:
-            a, b = known.vector(phrase), np.array(e)
-            scale = np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())
-            s = float(a @ b / scale) if scale else 0.0
+            s = plain_cosine(known.vector(phrase), e)
             if s > top:
                 top, name = s, n
         return name, top
 
+    threshold = np.float32(threshold)
     for ord_, phrase in enumerate(plain_phrases(text)):
         name, s = best(phrase)
         if s >= threshold:
             return name, s, ord_
-        if ord_ == 0 and s < 0.35:
+        if ord_ == 0 and s < np.float32(0.35):
             return None
     return None
 
@@ -93,7 +102,68 @@ def test_route_against_the_sequential_search(spark, threshold):
         wanted = sequential(t, registry.rows, size, threshold)
         assert (got[i] is None) == (wanted is None)
         if wanted:
-            assert (got[i]["intent_name"], got[i]["ord"]) == (wanted[0], wanted[2]) and got[i]["score"] == pytest.approx(wanted[1])
+            assert (got[i]["intent_name"], got[i]["ord"]) == (wanted[0], wanted[2]) and got[i]["score"] == wanted[1]
+
+
+def test_scores_are_the_exact_single_precision_ones():
+    """Best rows of groups against plain loops, with ties, tiny, huge, zero and undefined vectors."""
+    rng = np.random.default_rng(3)
+    registry = np.concatenate([rng.normal(size=(40, 24)), rng.integers(0, 3, (30, 24)), np.zeros((1, 24)), np.full((1, 24), 1e-25), np.full((1, 24), 1e18), np.full((1, 24), np.nan)]).astype("f4")
+    registry = np.concatenate([registry, registry[5:9], -registry[5:6]])
+    vectors = np.concatenate([registry[rng.permutation(len(registry))[:30]] * 3, rng.integers(0, 2, (30, 24)), np.zeros((1, 24)), np.full((2, 24), 1e-25), -registry[:1], np.full((1, 24), np.inf)]).astype("f4")
+    for owner in (None, rng.integers(0, 5, len(registry))):
+        groups = np.zeros(len(registry), int) if owner is None else owner
+        with np.errstate(all="ignore"):
+            scores = np.array([[plain_cosine(v, r) for r in registry] for v in vectors])
+        at, top = Scorer(registry, owner).best(vectors)
+        for i, row in enumerate(scores):
+            for k, g in enumerate(np.unique(groups)):
+                best, place = np.float32(-1), -1
+                for j in np.flatnonzero(groups == g):
+                    if row[j] > best:
+                        best, place = row[j], j
+                assert (at[i, k], top[i, k]) == (place, best), (i, g)
+
+
+def test_limits_are_single_precision(spark):
+    """A score of exactly 0.65f is a match at 0.65, whose double is larger."""
+    assert np.float64(np.float32(0.65)) != 0.65
+    x = np.float32(0.65)
+    near = [(float(v), float(np.sqrt(np.float32(1) - np.float32(v) * np.float32(v)))) for v in (x, np.nextafter(x, np.float32(0)))]
+    df = spark.createDataFrame(list(enumerate([list(v) for v in near])), "i int, embedding array<float>")
+    registry = Registry([("a", [1.0, 0.0])])
+    got = {r["i"]: r["intent_name"] for r in route_vectors(df, registry).collect()}
+    exact = [plain_cosine(np.array(v, "f4"), np.array([1, 0], "f4")) for v in near]
+    assert got == {i: "a" if s >= x else None for i, s in enumerate(exact)}
+    opposite = spark.createDataFrame([([-1.0, 0.0],)], "embedding array<float>")
+    assert score_vectors(opposite, registry).first()["best"] == (None, None)
+
+
+def test_columns_of_clashing_names_stay(spark):
+    df = spark.createDataFrame([([1.0, 0.0], "open", "b", "s", "p", "c")], "embedding array<float>, sanitized string, best string, scores string, phrase string, context string")
+    registry = Registry([("a", [1.0, 0.0])])
+    got = route_vectors(df, registry).first()
+    assert (got["intent_name"], got["best"], got["scores"], got["phrase"]) == ("a", "b", "s", "p")
+    provider = HashingProvider(2)
+    for how in (route_rows, route_tables):
+        got = how(df, Registry([("a", [float(x) for x in provider.worker()(["open"])[0]])]), provider).first()
+        assert (got["route"]["intent_name"], got["best"], got["scores"], got["phrase"], got["context"]) == ("a", "b", "s", "p", "c")
+
+
+def test_router(spark):
+    router = Router(HashingProvider(16), 0.9)
+    router.add_intent("OPEN", "open door")
+    router.add_intent("CLOSE", "close door")
+    df = spark.createDataFrame([("open door",), ("close door",)], "sanitized string")
+    names = lambda: [r["route"] and r["route"]["intent_name"] for r in router.route(df).collect()]
+    assert names() == ["OPEN", "CLOSE"]
+    router.remove_intent("OPEN")
+    assert names() == [None, "CLOSE"]
+    router.clear_intents()
+    assert names() == [None, None]
+    for bad in ((None, 0.5), (HashingProvider(4), 1.5), (HashingProvider(4), -0.1)):
+        with pytest.raises(ValueError):
+            Router(*bad)
 
 
 def test_registry_and_limits(spark):
@@ -122,15 +192,27 @@ def test_precomputed_and_onnx_providers(spark):
     phrases = spark.createDataFrame([("a",), ("b",)], "phrase string")
     assert {r["phrase"]: r["embedding"] for r in PrecomputedProvider(table).embed(phrases).collect()} == {"a": [1.0], "b": None}
 
+    sizes = []
+
     class Session:
         def get_inputs(self):
             return [type("I", (), {"name": n}) for n in ("input_ids", "attention_mask", "token_type_ids")]
 
         def run(self, _, feed):
-            assert feed["attention_mask"].min() == 1 and feed["token_type_ids"].max() == 0
-            return [np.stack([np.stack([feed["input_ids"][0], feed["input_ids"][0] * 0], axis=1)]).astype("f4")]
-
-    provider = OnnxProvider("m.onnx", lambda t: [3, 4, 5], lambda path: Session())
-    assert provider.vector(provider._open(), "x").tolist() == [1.0, 0.0]
+            ids = feed["input_ids"]
+            sizes.append(ids.shape)
+            assert feed["attention_mask"].shape == ids.shape and feed["attention_mask"].min() == 1 and feed["token_type_ids"].max() == 0
+            return [np.stack([ids, ids * 0 + 1], axis=2).astype("f4")]
+
+    provider = OnnxProvider("m.onnx", lambda t: [3, 4, len(t)][: 2 + len(t) % 2], lambda path: Session(), batch=2)
+    texts = ["a", "bb", "ccc", "dd", "eeeee", "", None]
+    together = provider.vectors(provider._open(), texts)
+    assert sorted(sizes) == [(1, 3), (2, 2), (2, 2), (2, 3)]
+    for t, v in zip(texts, together):
+        mean = np.float32(np.mean(provider.encode(t or "")))
+        assert v == pytest.approx(np.array([mean, 1]) / np.sqrt(mean * mean + 1), rel=1e-6)
+        assert (provider.vectors(provider._open(), [t])[0] == v).all()
+    flat = type("Flat", (Session,), {"run": lambda self, _, feed: [feed["input_ids"].astype("f4")]})
+    assert OnnxProvider("m", lambda t: [3, 4], lambda path: flat()).worker()(["x", "y"]).tolist() == [[pytest.approx(0.6), pytest.approx(0.8)]] * 2
     with pytest.raises(ValueError):
         OnnxProvider("m.onnx", None)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,8 +23,10 @@ STOP_WORDS = (
     "to too uh um very was we well were what when where which who whom why will with would yeah yep yo you your"
 ).split()
 
+# What surrounds the context of a prompt, and the text that an action leaves in the log.
 CONTEXT_INTRO = "Use the following context to answer the question:\n\n<context>"
 CONTEXT_OUTRO = "</context>\n\nQuestion: "
+ACTION = "Executed local action: "
 
 
 def ascii_lower(text: Column) -> Column:
@@ -59,21 +63,34 @@ def extract_urls(text: Column) -> Column:
     return F.filter(F.transform(found, lambda u: F.regexp_replace(u, URL_TAIL, "")), lambda u: F.octet_length(u) > URL_BYTES)
 
 
-def windows(of: Column) -> Column:
-    """Word windows joined by a space, from min(5, n - 1) words down to one, from left to right; none for n of two or less."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over value, which is evaluated once for each row however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def windows(of: Column, most: int | None = None) -> Column:
+    """Word windows joined by a space, from min(5, n - 1) words down to one, from left to right; none for n of two or less.
+
+    With `most`, at most so many of each size, from the left; `of` should then be bound (see `let`), so that the work does
+    not grow with the number of words.
+    """
     n = F.size(of)
     sizes = F.sequence(F.least(F.lit(LONGEST_WINDOW), n - 1), F.lit(1), F.lit(-1))
-    made = F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(0), n - k), lambda i: F.array_join(F.slice(of, i + 1, k), " "))))
+    last = lambda k: n - k if most is None else F.least(n - k, F.lit(most - 1))
+    made = F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(0), last(k)), lambda i: F.array_join(F.slice(of, i + 1, k), " "))))
     return F.when(n > 2, made).otherwise(F.array().cast("array<string>"))
 
 
 def phrases(text: Column, most: int = MOST_PHRASES) -> Column:
     """Candidate phrases of a text, in the order in which routing tries them: the text, its words without stop words if
-    some but not all are stop words, then the windows; at most `most`."""
-    of = words(text)
-    kept = without_stop_words(of)
-    filtered = F.when((F.size(kept) > 0) & (F.size(kept) < F.size(of)), F.array(F.array_join(kept, " "))).otherwise(F.array().cast("array<string>"))
-    return F.slice(F.concat(F.array(text), filtered, windows(of)), 1, most)
+    some but not all are stop words, then the windows; at most `most`. The text is split once, and only the first windows
+    are made, so that time is linear in the words."""
+
+    def listed(t: Column, of: Column, kept: Column) -> Column:
+        filtered = F.when((F.size(kept) > 0) & (F.size(kept) < F.size(of)), F.array(F.array_join(kept, " "))).otherwise(F.array().cast("array<string>"))
+        return F.slice(F.concat(F.array(t), filtered, windows(of, most)), 1, most)
+
+    return let(text, lambda t: let(words(t), lambda of: let(without_stop_words(of), lambda kept: listed(t, of, kept))))
 
 
 def user_content(text: Column, context: Column) -> Column:
@@ -82,7 +99,7 @@ def user_content(text: Column, context: Column) -> Column:
 
 
 def action_text(intent: Column) -> Column:
-    return F.concat(F.lit("Executed local action: "), intent)
+    return F.concat(F.lit(ACTION), intent)
 
 
 def action_line(intent: Column, score: Column) -> Column:

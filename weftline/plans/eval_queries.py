@@ -27,7 +27,7 @@ def _scored(spark, sf_dir):
     registry = Registry.of(R._examples(spark, sf_dir, 2).filter("name <> 'INTENT_0'"))
     expected = F.when(F.col("label") == 0, "").otherwise(F.concat(F.lit("INTENT_"), "label"))
     scored = R._best(score_intents(_read(spark, sf_dir, "embeddings"), registry))
-    return scored.select("vec_id", "label", expected.alias("expected"), "best_intent", F.round("best_score", 6).alias("best_score"))
+    return scored.select("vec_id", "label", expected.alias("expected"), "best_intent", R._rounded("best_score", 6).alias("best_score"))
 
 
 def _results(spark, sf_dir):
@@ -82,7 +82,7 @@ def action_lines(spark, sf_dir):
 
 
 _SCORED = f"""WITH {R._EX.format(n=2)}, {R._PAIRS}, {R._TOP},
-bst AS (SELECT vec_id, name AS best_intent, round(s, 6) AS best_score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, name) AS r FROM top WHERE name <> 'INTENT_0') WHERE r = 1),
+bst AS (SELECT vec_id, name AS best_intent, round(s::DOUBLE, 6) AS best_score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, name) AS r FROM top WHERE name <> 'INTENT_0') WHERE r = 1),
 scored AS (SELECT vec_id, label, CASE WHEN label = 0 THEN '' ELSE 'INTENT_' || label END AS expected, best_intent, best_score FROM embeddings JOIN bst USING (vec_id)),
 results AS (SELECT *, best_score >= {THRESHOLD} AS matched, CASE WHEN expected = '' THEN best_score < {THRESHOLD} ELSE best_score >= {THRESHOLD} AND best_intent = expected END AS correct FROM scored)"""
 _SWEEP = """,
@@ -116,6 +116,6 @@ q AS (SELECT category, quantile_cont(s, 0.25) AS q1, quantile_cont(s, 0.5) AS q2
 SELECT category, round(q1, 5) AS q1, round(q2, 5) AS q2, round(q3, 5) AS q3, round(min(s), 5) AS low, round(max(s), 5) AS high
 FROM c JOIN q USING (category) WHERE s BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY category, q1, q2, q3""",
     "example_counts": "SELECT label::VARCHAR AS intent, count(*) AS n_examples FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) WHERE r <= 5 GROUP BY label",
-    "action_lines": f"""{_ROUTED} SELECT src.k // 1000 AS conv_id, src.k % 1000 AS turn, '[ACTION] ' || intent_name || ' (score: ' || round(score, 6)::VARCHAR || ')' AS line, 'Executed local action: ' || intent_name AS action,
+    "action_lines": f"""{_ROUTED} SELECT src.k // 1000 AS conv_id, src.k % 1000 AS turn, '[ACTION] ' || intent_name || ' (score: ' || round(score::DOUBLE, 6)::VARCHAR || ')' AS line, 'Executed local action: ' || intent_name AS action,
 CASE WHEN length("full") > 42 THEN substr("full", 1, 42) || '…' ELSE "full" END AS label FROM src JOIN routes USING (k)""",
 }

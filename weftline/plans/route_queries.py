@@ -22,6 +22,11 @@ def _examples(spark, sf_dir, per_label: int) -> DataFrame:
     return vectors.withColumn("r", rank).filter(F.col("r") <= per_label).select(F.col("vec_id").alias("reg_ord"), F.concat(F.lit("INTENT_"), "label").alias("name"), "embedding")
 
 
+def _rounded(score, digits: int):
+    """A single-precision score as a rounded double."""
+    return F.round(F.col(score).cast("double"), digits)
+
+
 def _or(col, value, name: str | None = None):
     """The column with a plain value where there was no match, since results are compared as text."""
     return F.coalesce(col, F.lit(value)).alias(name or col)
@@ -30,16 +35,16 @@ def _or(col, value, name: str | None = None):
 def cosine_pairs(spark, sf_dir):
     registry = Registry.of(_examples(spark, sf_dir, 1))
     scored = score_intents(_read(spark, sf_dir, "embeddings"), registry)
-    return scored.select("vec_id", F.explode("scores").alias("name", "s")).select("vec_id", "name", F.round("s", 4).alias("score"))
+    return scored.select("vec_id", F.explode("scores").alias("name", "s")).select("vec_id", "name", _rounded("s", 4).alias("score"))
 
 
 def intent_similarity_matrix(spark, sf_dir):
-    return evaluate.similarity_matrix(_examples(spark, sf_dir, 1)).withColumn("score", F.round("score", 3))
+    return evaluate.similarity_matrix(_examples(spark, sf_dir, 1)).withColumn("score", _rounded("score", 3))
 
 
 def max_score_per_intent(spark, sf_dir):
     scored = score_intents(_read(spark, sf_dir, "embeddings"), Registry.of(_examples(spark, sf_dir, 5)))
-    return scored.select("vec_id", F.explode("scores").alias("name", "s")).select("vec_id", "name", F.round("s", 4).alias("score"))
+    return scored.select("vec_id", F.explode("scores").alias("name", "s")).select("vec_id", "name", _rounded("s", 4).alias("score"))
 
 
 def _best(scored: DataFrame) -> DataFrame:
@@ -51,23 +56,22 @@ def _best(scored: DataFrame) -> DataFrame:
 
 def best_intent(spark, sf_dir):
     scored = score_intents(_read(spark, sf_dir, "embeddings"), Registry.of(_examples(spark, sf_dir, 5)))
-    return _best(scored).select("vec_id", "best_intent", F.round("best_score", 4).alias("best_score"))
+    return _best(scored).select("vec_id", "best_intent", _rounded("best_score", 4).alias("best_score"))
 
 
 def scores_pivot(spark, sf_dir):
     scored = score_intents(_read(spark, sf_dir, "embeddings"), Registry.of(_examples(spark, sf_dir, 5)))
-    return scored.select("vec_id", *[F.round(F.coalesce(F.col("scores")[f"INTENT_{i}"], F.lit(0.0)), 4).alias(f"intent_{i}") for i in range(10)])
+    return scored.select("vec_id", *[F.round(F.coalesce(F.col("scores")[f"INTENT_{i}"].cast("double"), F.lit(0.0)), 4).alias(f"intent_{i}") for i in range(10)])
 
 
 def route_vectors(spark, sf_dir):
     routed = match_vectors(_read(spark, sf_dir, "embeddings"), Registry.of(_examples(spark, sf_dir, 5)))
-    return routed.select("vec_id", _or("intent_name", ""), _or(F.round("score", 4), -1.0, "score"))
+    return routed.select("vec_id", _or("intent_name", ""), _or(_rounded("score", 4), -1.0, "score"))
 
 
 def _text_registry(spark, sf_dir, provider) -> Registry:
-    """All benchmark items as examples: their first eight words, under eight names."""
-    first = F.array_join(F.slice(T.words(T.sanitize(F.col("text"))), 1, 8), " ")
-    items = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("reg_ord"), F.concat(F.lit("INTENT_"), F.col("item_id") % 8).alias("name"), first.alias("example"))
+    """All benchmark items as examples, with their whole texts, under eight names."""
+    items = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("reg_ord"), F.concat(F.lit("INTENT_"), F.col("item_id") % 8).alias("name"), T.sanitize(F.col("text")).alias("example"))
     return Registry.of(items, provider)
 
 
@@ -81,7 +85,7 @@ def route_text(spark, sf_dir):
     provider = HashingProvider(SIZE)
     users = _read(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", T.sanitize(F.col("text")).alias("sanitized"))
     routed = route(users, _text_registry(spark, sf_dir, provider), provider)
-    return routed.select("conv_id", "turn", "sanitized", _or("route.intent_name", "", "intent_name"), _or(F.round("route.score", 6), -1.0, "score"), _or("route.ord", -1, "phrase_ord"))
+    return routed.select("conv_id", "turn", "sanitized", _or("route.intent_name", "", "intent_name"), _or(_rounded("route.score", 6), -1.0, "score"), _or("route.ord", -1, "phrase_ord"))
 
 
 def _log(spark, sf_dir) -> DataFrame:
@@ -158,8 +162,8 @@ def session_replay(spark, sf_dir):
     return done.select("conv_id", "turn", matched.alias("matched"), _or("action", ""), F.size("history").alias("n_history"), _shown(F.col("history")).alias("history_md5"), F.when(~matched, F.size(F.from_json("payload", prompt.MESSAGE))).otherwise(0).alias("n_messages"))
 
 
-_EX = "examples AS (SELECT vec_id AS reg_ord, 'INTENT_' || label AS name, embedding::DOUBLE[] AS e FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) WHERE r <= {n})"
-_PAIRS = "pairs AS (SELECT v.vec_id, x.reg_ord, x.name, list_cosine_similarity(v.embedding::DOUBLE[], x.e) AS s FROM embeddings v, examples x)"
+_EX = "examples AS (SELECT vec_id AS reg_ord, 'INTENT_' || label AS name, embedding AS e FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) WHERE r <= {n})"
+_PAIRS = f"pairs AS (SELECT v.vec_id, x.reg_ord, x.name, {O.cosine('v.embedding', 'x.e')} AS s FROM embeddings v, examples x)"
 _TOP = "top AS (SELECT vec_id, name, max(s) AS s FROM pairs GROUP BY vec_id, name)"
 _WITH = f"WITH {_EX.format(n=5)}, {_PAIRS}, {_TOP}"
 _LOG = "(SELECT conv_id, turn AS id, role, text AS content FROM conversations)"
@@ -172,15 +176,15 @@ _CONTENT = "CASE WHEN id % 2 = 0 THEN 'Use the following context to answer the q
 QUERIES = {f.__name__: f for f in (cosine_pairs, intent_similarity_matrix, max_score_per_intent, best_intent, scores_pivot, route_vectors, route_text, recent_history, last_messages, chronological_last_k, prune_keep_latest, update_last_message, append_message, clear_history, session_cut, payload_messages, payload_api, session_replay)}
 
 ORACLES = {
-    "cosine_pairs": f"WITH {_EX.format(n=1)}, {_PAIRS} SELECT vec_id, name, round(s, 4) + 0.0::DOUBLE AS score FROM pairs",
-    "intent_similarity_matrix": f"WITH {_EX.format(n=1)} SELECT a.name AS i, b.name AS j, round(list_cosine_similarity(a.e, b.e), 3) + 0.0::DOUBLE AS score FROM examples a, examples b",
-    "max_score_per_intent": f"{_WITH} SELECT vec_id, name, round(s, 4) + 0.0::DOUBLE AS score FROM top",
-    "best_intent": f"{_WITH} SELECT vec_id, name AS best_intent, round(s, 4) + 0.0::DOUBLE AS best_score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, name) AS r FROM top) WHERE r = 1",
-    "scores_pivot": f"{_WITH} SELECT vec_id, " + ", ".join(f"round(coalesce(max(CASE WHEN name = 'INTENT_{i}' THEN s END), 0.0), 4) + 0.0::DOUBLE AS intent_{i}" for i in range(10)) + " FROM top GROUP BY vec_id",
-    "route_vectors": f"{_WITH}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, reg_ord) AS r FROM pairs) WHERE r = 1) SELECT vec_id, CASE WHEN s >= {THRESHOLD} THEN name ELSE '' END AS intent_name, CASE WHEN s >= {THRESHOLD} THEN round(s, 4) ELSE -1 END AS score FROM b",
+    "cosine_pairs": f"WITH {_EX.format(n=1)}, {_PAIRS} SELECT vec_id, name, round(s::DOUBLE, 4) + 0.0::DOUBLE AS score FROM pairs",
+    "intent_similarity_matrix": f"WITH {_EX.format(n=1)} SELECT a.name AS i, b.name AS j, round({O.cosine('a.e', 'b.e')}::DOUBLE, 3) + 0.0::DOUBLE AS score FROM examples a, examples b",
+    "max_score_per_intent": f"{_WITH} SELECT vec_id, name, round(s::DOUBLE, 4) + 0.0::DOUBLE AS score FROM top",
+    "best_intent": f"{_WITH} SELECT vec_id, name AS best_intent, round(s::DOUBLE, 4) + 0.0::DOUBLE AS best_score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, name) AS r FROM top) WHERE r = 1",
+    "scores_pivot": f"{_WITH} SELECT vec_id, " + ", ".join(f"round(coalesce(max(CASE WHEN name = 'INTENT_{i}' THEN s END)::DOUBLE, 0.0), 4) + 0.0::DOUBLE AS intent_{i}" for i in range(10)) + " FROM top GROUP BY vec_id",
+    "route_vectors": f"{_WITH}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, reg_ord) AS r FROM pairs) WHERE r = 1) SELECT vec_id, CASE WHEN s >= {THRESHOLD}::FLOAT THEN name ELSE '' END AS intent_name, CASE WHEN s >= {THRESHOLD}::FLOAT THEN round(s::DOUBLE, 4) ELSE -1 END AS score FROM b",
     "route_text": f"""WITH src AS (SELECT conv_id * 1000 + turn AS k, {O.sanitize('text')} AS "full" FROM conversations WHERE role = 'user'),
 {O.routed('src', 'k', T.STOP_WORDS, THRESHOLD, EARLY_EXIT, SIZE)}
-SELECT src.k // 1000 AS conv_id, src.k % 1000 AS turn, "full" AS sanitized, coalesce(intent_name, '') AS intent_name, coalesce(round(score, 6), -1) AS score, coalesce(ord, -1)::INT AS phrase_ord FROM src LEFT JOIN routes USING (k)""",
+SELECT src.k // 1000 AS conv_id, src.k % 1000 AS turn, "full" AS sanitized, coalesce(intent_name, '') AS intent_name, coalesce(round(score::DOUBLE, 6), -1) AS score, coalesce(ord, -1)::INT AS phrase_ord FROM src LEFT JOIN routes USING (k)""",
     "recent_history": f"SELECT conv_id, id AS turn, len(h)::INT AS n_history, md5({_HIST.format(h='h')}) AS history_md5 FROM (SELECT conv_id, id, {_BEFORE} AS h FROM {_LOG})",
     "last_messages": f"SELECT conv_id, count(*)::INT AS n_history, md5(string_agg(role || ':' || content, chr(10) ORDER BY id)) AS history_md5 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY id DESC) AS r FROM {_LOG}) WHERE r <= 5 GROUP BY conv_id",
     "chronological_last_k": f"SELECT * FROM {_LOG} ORDER BY conv_id DESC, id DESC LIMIT 10",
