@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from weftline.operators.tokenize import Vocabulary, encode, encode_text
+from weftline.operators import tokenize
+from weftline.operators.tokenize import Vocabulary, encode, encode_joined, encode_text
 from weftline.sources.files import load_vocab
 
 TOKENS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "un", "##aff", "##able", "run", "##ning", "é", "##é", "hello", "world", ",", "!", "x", "##x"]
@@ -40,6 +41,17 @@ def test_against_the_sequential_form(spark, vocabulary):
     assert ids_of(spark, vocabulary, rows) == [encode_text(t, vocabulary[1]) for t in rows]
 
 
+def test_both_ways_give_the_same_ids(spark, vocabulary, monkeypatch):
+    rnd = random.Random(5)
+    rows = [None, "", "é" * 101, "un" * 400, *("".join(rnd.choice(["un", "aff", "able", "UN", "x", "É", " ", "\t", ",", "q", "hello"]) for _ in range(rnd.randint(0, 30))) for _ in range(80))]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, text string")
+    show = lambda d: {r["i"]: r["ids"] for r in d.collect()}
+    sent = show(encode(df, Vocabulary.of(vocabulary[0]), "i", "text", 20))
+    assert sent == show(encode_joined(df, Vocabulary.of(vocabulary[0]), "i", "text", 20))
+    monkeypatch.setattr(tokenize, "MOST_TOKENS", 3)
+    assert Vocabulary.of(vocabulary[0]).held() is None and show(encode(df, Vocabulary.of(vocabulary[0]), "i", "text", 20)) == sent
+
+
 def test_missing_vocabulary(spark):
     with pytest.raises(RuntimeError):
         load_vocab(spark, "/nowhere/vocab.txt")

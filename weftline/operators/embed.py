@@ -71,14 +71,15 @@ class PrecomputedProvider:
 class OnnxProvider:
     """Mean-pooled, normalised output of an ONNX encoder; one session for each Python worker.
 
-    encode: text -> ids, in Python (see operators.tokenize.Vocabulary.encode). session: a factory of objects with
-    `get_inputs()` and `run()`, onnxruntime's by default. Inputs are given by name: ids, mask of ones, type ids of zero.
+    encode: text -> ids, in Python (see operators.tokenize.Cutter). session: a factory of objects with `get_inputs()` and
+    `run()`, onnxruntime's by default. Inputs are given by name: ids, mask of ones, type ids of zero. Texts with the same
+    number of ids run together, `batch` at most at a time, so nothing is padded and each text's output is that of a run alone.
     """
 
-    def __init__(self, path: str, encode: Callable[[str], list[int]], session: Callable | None = None):
+    def __init__(self, path: str, encode: Callable[[str], list[int]], session: Callable | None = None, batch: int = 32):
         if encode is None:
             raise ValueError("a tokenizer is needed")
-        self.path, self.encode, self.session = path, encode, session
+        self.path, self.encode, self.session, self.batch = path, encode, session, batch
 
     def _open(self):
         if self.session is not None:
@@ -92,18 +93,31 @@ class OnnxProvider:
             options.add_session_config_entry("session.load_model_format", "ORT")
         return onnxruntime.InferenceSession(self.path, options)
 
-    def vector(self, session, text: str) -> np.ndarray:
-        ids = np.array([self.encode(text)], "i8")
+    def _run(self, session, ids: np.ndarray) -> np.ndarray:
+        """A unit vector for each row of ids; a zero one stays."""
         given = {"mask": np.ones_like(ids), "type": np.zeros_like(ids), "ids": ids}
         feed = {x.name: given[next((k for k in ("mask", "type") if k in x.name), "ids")] for x in session.get_inputs()}
         out = np.asarray(session.run(None, feed)[0], "f4")
-        pooled = out[0].mean(axis=0, dtype="f4") if out.ndim == 3 else out.reshape(-1)
-        norm = np.sqrt((pooled * pooled).sum(dtype="f4"))
-        return pooled / norm if norm else pooled
+        pooled = out.mean(axis=1, dtype="f4") if out.ndim == 3 else out.reshape(len(ids), -1)
+        norm = np.sqrt((pooled * pooled).sum(axis=1, keepdims=True, dtype="f4"))
+        return np.divide(pooled, norm, out=pooled.copy(), where=norm != 0)
+
+    def vectors(self, session, texts: list[str]) -> np.ndarray:
+        ids = [self.encode(t or "") for t in texts]
+        by_size: dict[int, list[int]] = {}
+        for i, x in enumerate(ids):
+            by_size.setdefault(len(x), []).append(i)
+        found: list[np.ndarray | None] = [None] * len(texts)
+        for own in by_size.values():
+            for at in range(0, len(own), self.batch):
+                rows = own[at : at + self.batch]
+                for i, v in zip(rows, self._run(session, np.array([ids[i] for i in rows], "i8"))):
+                    found[i] = v
+        return np.stack(found)
 
     def worker(self) -> Callable[[list[str]], np.ndarray]:
         session = self._open()
-        return lambda texts: np.stack([self.vector(session, t or "") for t in texts])
+        return lambda texts: self.vectors(session, texts)
 
     def embed(self, phrases: DataFrame) -> DataFrame:
         return _embedded(self, phrases)

@@ -1,4 +1,6 @@
-"""WordPiece ids. Distinct words are cut once, by joins with the vocabulary; texts are put together from their words.
+"""WordPiece ids. A vocabulary of at most MOST_TOKENS tokens and MOST_BYTES bytes, which is counted, is sent to the tasks: texts
+are cut where they are, without a shuffle, and a worker remembers the ids of words up to a bound. With a larger one distinct
+words are cut once, by joins with the vocabulary, and texts are put together from their words. Both give the same ids.
 
 The rule for a word: the longest piece from the current place is taken, `##` in front of pieces after the first; where no
 piece fits, the pieces found so far stay and one UNK is added. A word over MOST_WORD_BYTES bytes is one UNK.
@@ -6,14 +8,20 @@ piece fits, the pieces found so far stay and one UNK is added. A word over MOST_
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
 
 MOST_IDS, MOST_WORD_BYTES = 512, 200
 CLS, SEP, UNK = ("[CLS]", 101), ("[SEP]", 102), ("[UNK]", 100)
+MOST_TOKENS, MOST_BYTES = 1_000_000, 16 << 20
+#: Words whose ids a worker remembers.
+MOST_KNOWN = 200_000
 
 
 @dataclass
@@ -25,7 +33,6 @@ class Vocabulary:
     sep: int = SEP[1]
     unk: int = UNK[1]
     longest: int = 0
-    _known: dict[str, int] = field(default_factory=dict, repr=False)
 
     @classmethod
     def of(cls, tokens: DataFrame) -> Vocabulary:
@@ -33,6 +40,50 @@ class Vocabulary:
         longest = tokens.agg(F.max(F.length("token"))).first()[0] or 0
         return cls(tokens.select("token", F.col("token_id").cast("long")), special.get(CLS[0], CLS[1]), special.get(SEP[0], SEP[1]), special.get(UNK[0], UNK[1]), longest)
 
+    def held(self) -> dict[str, int] | None:
+        """The tokens and ids on the driver, None if there are too many."""
+        n, size = self.tokens.limit(MOST_TOKENS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))).first()
+        return None if n > MOST_TOKENS or size > MOST_BYTES else {r["token"]: r["token_id"] for r in self.tokens.collect()}
+
+
+class Cutter:
+    """Cuts texts with a vocabulary in memory."""
+
+    def __init__(self, tokens: dict[str, int], cls: int = CLS[1], sep: int = SEP[1], unk: int = UNK[1]):
+        self.tokens, self.cls, self.sep, self.unk = tokens, cls, sep, unk
+        self._longest, self._known = max(map(len, tokens), default=0), {}
+        self._lower, self._token = str.maketrans(T.UPPER, T.LOWER), re.compile(T.BASIC_TOKEN)
+
+    def word(self, word: str) -> list[int]:
+        if len(word.encode("utf-8", "surrogatepass")) > MOST_WORD_BYTES:
+            return [self.unk]
+        out, at, get = [], 0, self.tokens.get
+        while at < len(word):
+            mark = "##" if at else ""
+            for end in range(min(len(word), at + self._longest), at, -1):
+                found = get(mark + word[at:end])
+                if found is not None:
+                    break
+            else:
+                return [*out, self.unk]
+            out.append(found)
+            at = end
+        return out
+
+    def ids(self, text: str | None, most: int = MOST_IDS) -> list[int]:
+        """CLS, at most `most` - 2 ids, SEP; null counts as empty."""
+        out, known = [], self._known
+        if len(known) > MOST_KNOWN:
+            known.clear()
+        for m in self._token.finditer((text or "").translate(self._lower)):
+            if len(out) >= most - 2:
+                break
+            w = m[0]
+            if w not in known:
+                known[w] = self.word(w)
+            out += known[w]
+        return [self.cls, *out[: most - 2], self.sep]
+
 
 def pieces(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """word and ids of distinct words (column `word`).
@@ -63,7 +114,23 @@ def pieces(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str, most: int = MOST_IDS) -> DataFrame:
-    """id_col and ids (CLS, at most `most` - 2 ids, SEP) of every row; id_col must be unique. Null text counts as empty."""
+    """id_col and ids (CLS, at most `most` - 2 ids, SEP) of every row. Null text counts as empty."""
+    tokens = vocabulary.held()
+    if tokens is None:
+        return encode_joined(df, vocabulary, id_col, text_col, most)
+    special = vocabulary.cls, vocabulary.sep, vocabulary.unk
+    sent = df.sparkSession.sparkContext.broadcast(tokens)
+
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cutter = Cutter(sent.value, *special)
+        for texts in batches:
+            yield pd.Series([cutter.ids(t, most) for t in texts], dtype="object")
+
+    return df.select(id_col, F.pandas_udf(cut, "array<long>")(F.col(text_col)).alias("ids"))
+
+
+def encode_joined(df: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str, most: int = MOST_IDS) -> DataFrame:
+    """`encode` for a vocabulary of any size; id_col must be unique."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     placed = rows.select("id", F.posexplode(T.basic_tokens(F.col("text"))).alias("pos", "word")).filter(F.col("pos") < most - 2)
     cut_words = pieces(placed.select("word").distinct(), vocabulary)
@@ -74,19 +141,8 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str, mo
 
 def encode_text(text: str, vocabulary: dict[str, int], most: int = MOST_IDS) -> list[int]:
     """The same for one text in Python, for model workers that hold the vocabulary."""
-    import re
+    return cutter_of(vocabulary).ids(text, most)
 
-    unk, out = vocabulary.get(UNK[0], UNK[1]), []
-    for word in re.findall(T.BASIC_TOKEN, text.translate(str.maketrans(T.UPPER, T.LOWER))):
-        if len(word.encode("utf-8", "surrogatepass")) > MOST_WORD_BYTES:
-            out.append(unk)
-            continue
-        at = 0
-        while at < len(word):
-            end = next((e for e in range(len(word), at, -1) if ("##" if at else "") + word[at:e] in vocabulary), None)
-            if end is None:
-                out.append(unk)
-                break
-            out.append(vocabulary[("##" if at else "") + word[at:end]])
-            at = end
-    return [vocabulary.get(CLS[0], CLS[1]), *out[: most - 2], vocabulary.get(SEP[0], SEP[1])]
+
+def cutter_of(vocabulary: dict[str, int]) -> Cutter:
+    return Cutter(vocabulary, *(vocabulary.get(name, default) for name, default in (CLS, SEP, UNK)))
