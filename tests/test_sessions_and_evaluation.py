@@ -7,10 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import evaluate
+from weftline.operators import evaluate, memory
 from weftline.operators.embed import HashingProvider
 from weftline.operators.route import Registry, route_rows, route_tables
 from weftline.plans import report, session
+from weftline.plans.live import Live, lines_of
+from weftline.sources.config import Config
+from weftline.sources.files import write_document
 from weftline.streaming import session as stream
 
 TURNS = [(1, 0, "Open the DOOR"), (1, 1, "  "), (1, 2, "tell me more"), (1, 3, "open door"), (1, 4, "and then"), (1, 5, " QuIt "), (1, 6, "late"), (2, 0, "hello there")]
@@ -116,6 +119,26 @@ def test_by_index(spark):
     assert got["a"]["std"] == pytest.approx(np.std(range(10)))
 
 
+@pytest.mark.parametrize("whole", [10_000, 3])
+def test_order_statistics_against_sorting(spark, monkeypatch, whole):
+    """whole=3 takes nearly all groups through brackets, with many ties, nulls and null keys."""
+    monkeypatch.setattr(evaluate, "WHOLE_GROUP", whole)
+    monkeypatch.setattr(evaluate, "MARGIN", 0.05 if whole == 3 else evaluate.MARGIN)
+    rnd = random.Random(whole)
+    rows = [(rnd.choice(["a", "b", None]), float(rnd.choice([rnd.random(), rnd.randint(0, 3)]))) for _ in range(4000)] + [("c", 1.0), ("d", None), ("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    by = {k: sorted(v for q, v in rows if q == k and v is not None) for k in ("a", "b", None, "c")}
+    got = {r["k"]: r for r in evaluate.by_index(df, ["k"], "v", {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}).collect()}
+    assert {k: tuple(r)[1:] for k, r in got.items()} == {k: tuple(v[min(int(len(v) * s), len(v) - 1)] for s in (0.0, 0.5, 0.95, 1.0)) for k, v in by.items()}
+    got = {r["k"]: r for r in evaluate.quantiles(df, ["k"], "v", {"q1": 0.25, "q2": 0.5, "q3": 0.75}).collect()}
+    for k, v in by.items():
+        assert tuple(got[k])[1:] == pytest.approx(tuple(np.quantile(v, (0.25, 0.5, 0.75))))
+    alone = evaluate.by_index(df, [], "v", {"p50": 0.5}).first()["p50"]
+    assert alone == sorted(v for _, v in rows if v is not None)[(len(rows) - 2) // 2]
+    stats = {r["k"]: r for r in evaluate.latency_stats(df, ["k"], "v").collect()}
+    assert stats["d"]["n"] == 0 and stats["d"]["p50"] is None and set(stats) == {"a", "b", "c", "d", None}
+
+
 def test_sweep_and_best(spark):
     grid = [r[0] for r in spark.range(1).select(F.explode(evaluate.thresholds())).collect()]
     assert grid == np.arange(0.40, 0.96, 0.02).tolist()
@@ -142,11 +165,82 @@ def test_matrix_and_scores(spark):
     assert evaluate.scores_by_intent(pairs, ["i"]).first()["scores"] == {"a": 0.4, "b": 0.2}
 
 
+def reader(url):
+    if "bad" in url:
+        raise RuntimeError("HTTP 404")
+    return f"body of {url[-1]}"
+
+
+def test_links_of_unmatched_turns_are_read(spark, tmp_path):
+    provider = HashingProvider(64)
+    registry = Registry.of(spark.createDataFrame([(0, "OPEN", "open door https://x.example/z")], "reg_ord int, name string, example string"), provider)
+    rows = [(1, 0, "open door https://x.example/z"), (1, 1, "see https://x.example/1, https://bad.example/x and https://x.example/2."), (1, 2, "no link")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    got = {r["turn"]: r for r in session.replay(turns, registry, provider, "sys", 3, fetcher=reader).collect()}
+    assert {t: r["context"] for t, r in got.items()} == {0: "", 1: "body of 1body of 2", 2: ""}
+    assert "<context>body of 1body of 2</context>" in json.loads(got[1]["payload"])[-1]["content"]
+    turns.coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = []
+    source = spark.readStream.schema(turns.schema).parquet(str(tmp_path / "in"))
+    stream.start(source, lambda df, _: seen.extend(df.collect()), str(tmp_path / "ck"), history_limit=3, registry=registry, provider=provider, system="sys", fetcher=reader).awaitTermination()
+    assert {r["turn"]: (r["context"], r["payload"]) for r in seen} == {t: (r["context"], r["payload"]) for t, r in got.items()}
+
+
+def test_kept_log_over_sessions(spark, tmp_path):
+    config = Config(db_path=str(tmp_path / "log"), history_limit=2, system_prompt="sys")
+    provider = HashingProvider(64)
+    registry = Registry.of(spark.createDataFrame([(0, "OPEN", "open door")], "reg_ord int, name string, example string"), provider)
+    live = Live(spark, config, registry, provider, reader)
+    said = list(lines_of(live, iter(["  \n", "Open  DOOR\n", "see https://x.example/1 and https://bad.example/2\n", "QUIT\n", "never\n"])))
+    assert said[0] == ("out", "[ACTION] OPEN (score: 1)") and ("err", "[WARN] https://bad.example/2 could not be read: HTTP 404") in said
+    shown = json.loads(said[-2][1])
+    assert [m["role"] for m in shown] == ["system", "user"] and "<context>body of 1</context>" in shown[1]["content"]
+    assert said[-1] == ("out", "(+ 2 history messages included in payload)")
+    again = Live(spark, config, registry, provider, reader)
+    answer = again.answer("and now")
+    assert [m["content"] for m in json.loads(answer["payload"])] == ["sys", "Executed local action: OPEN", "see https://x.example/1 and https://bad.example/2", "and now"]
+    for k in range(4):
+        again.answer(f"more {k}")
+    log = [tuple(r) for r in Live(spark, config).log.orderBy("id").select("id", "role", "content").collect()]
+    assert log == [(5 + k, "user", f"more {k}") for k in range(4)]  # pruned to twice the limit, ids go on
+
+
+def test_log_that_was_cleared_goes_on_counting(spark, tmp_path):
+    path = str(tmp_path / "log")
+    log, water = memory.open_log(spark, path)
+    assert log.count() == water.count() == 0
+    new = spark.createDataFrame([(7, 0, "user", "a"), (7, 1, "user", "b; '--")], "conv_id long, ord int, role string, content string")
+    log, water = memory.keep_log(memory.append(log, new, water), path, water)
+    empty, last = memory.clear(log)
+    log, water = memory.keep_log(empty, path, last)
+    assert log.count() == 0 and [tuple(r) for r in water.collect()] == [(7, 2)]
+    log, _ = memory.keep_log(memory.append(log, new, water), path, water)
+    assert sorted(r["id"] for r in log.collect()) == [3, 4]
+
+
+def test_result_document_and_its_charts(spark, tmp_path):
+    latency = {"avg_us": 150.0, "min_us": 100, "max_us": 200, "p50_us": 150, "p95_us": 200, "all_us": [100, 200]}
+    routing = [{"category": "direct_command", "input": "p0", "sanitized": "p0", "expected_intent": "A", "matched": True, "matched_intent": "A", "score": 0.9, "correct": True, "word_count": 1, "latency": latency}]
+    timed = spark.createDataFrame([("p0", 1, 10.0, 5, 15, 10, 4)], "input string, word_count int, avg_us double, min_us long, max_us long, p50_us long, token_count int")
+    similar = [{"input": "p0", "expected_intent": "A", "best_intent": "A", "best_score": 0.9, "scores_by_intent": {"A": 0.9, "B": 0.1}}]
+    parts = {"config": {"threshold": 0.65}, "routing_results": routing, "similarity_results": similar, "similarity_matrix": {"labels": ["A", "B"], "matrix": [[1.0, 0.5], [0.5, 1.0]]}, "embedding_latency": timed, "tokenization_latency": timed}
+    path = str(tmp_path / "results.json")
+    write_document(parts, path)
+    assert json.load(open(path))["embedding_latency"][0]["token_count"] == 4
+    assert report.main([path]) == 1 and report.main([str(tmp_path / "none.json"), str(tmp_path / "x")]) == 1
+    assert report.main([path, str(tmp_path / "charts")]) == 0
+    matrix = spark.read.json(str(tmp_path / "charts/similarity_matrix"))
+    assert {(r["i"], r["j"], r["score"]) for r in matrix.collect()} == {("A", "A", 1.0), ("A", "B", 0.5), ("B", "A", 0.5), ("B", "B", 1.0)}
+    assert spark.read.json(str(tmp_path / "charts/latency_by_words")).first()["avg_ms"] == 0.15
+
+
 def test_command_line(tmp_path):
-    (tmp_path / "c.json").write_text(json.dumps({"intents": [{"name": "OPEN", "example": "open door"}]}))
-    (tmp_path / "in.txt").write_text("open door\ntell me\nquit\nmore")
-    run = lambda *a: subprocess.run([sys.executable, "-m", "weftline.cli", *a], capture_output=True, text=True, timeout=240)
+    (tmp_path / "c.json").write_text(json.dumps({"db_path": str(tmp_path / "log"), "intents": [{"name": "OPEN", "example": "open door"}]}))
+    run = lambda *a, given="": subprocess.run([sys.executable, "-m", "weftline.cli", *a], input=given, capture_output=True, text=True, timeout=240)
     assert run("--version").returncode == 0
     assert run(str(tmp_path / "none.json")).returncode == 1
-    out = run(str(tmp_path / "c.json"), "--hashing", "--input", str(tmp_path / "in.txt")).stdout
-    assert "[ACTION] OPEN" in out and '"content": "tell me"' in out and "history messages" in out and "more" not in out
+    first = run(str(tmp_path / "c.json"), "--hashing", given="open door\ntell me\nquit\nmore\n")
+    assert first.returncode == 0 and "[ACTION] OPEN (score: 1)" in first.stdout and '"content": "tell me"' in first.stdout and "more" not in first.stdout.split("tell me")[1].replace("messages", "")
+    (tmp_path / "in.txt").write_text("what else")
+    second = run(str(tmp_path / "c.json"), "--hashing", "--input", str(tmp_path / "in.txt"))
+    assert second.returncode == 0 and "(+ 3 history messages included in payload)" in second.stdout and "tell me" not in second.stdout

@@ -1,9 +1,11 @@
-"""Command line: runs the turns of a text file, one a line, as one session and prints actions and payloads."""
+"""Command line: answers the lines of standard input, or of a file, one after the other and prints actions and payloads.
+
+The log is kept at the configuration's db_path, so that the next run goes on from it.
+"""
 
 from __future__ import annotations
 
 import argparse
-import json
 import os
 import sys
 
@@ -11,8 +13,8 @@ from pyspark.sql import SparkSession
 
 from .operators.embed import HashingProvider, OnnxProvider
 from .operators.route import Registry
-from .operators.tokenize import encode_text
-from .plans.session import replay
+from .operators.tokenize import cutter_of
+from .plans.live import Live, lines_of
 from .sources.config import intents, load_config
 
 VERSION = "0.1.0"
@@ -27,23 +29,20 @@ def main(argv: list[str] | None = None) -> int:
     given = parser.parse_args(argv)
     try:
         config = load_config(given.config)
-        lines = (sys.stdin if given.input == "-" else open(given.input, encoding="utf-8")).read().split("\n")
+        lines = sys.stdin if given.input == "-" else open(given.input, encoding="utf-8", newline="\n")
         spark = SparkSession.builder.appName("weftline").getOrCreate()
         provider = HashingProvider() if given.hashing else None
         if provider is None and os.path.exists(config.model_path) and os.path.exists(config.vocab_path):
             with open(config.vocab_path, encoding="utf-8") as f:
                 vocabulary = {t: i for i, t in enumerate(f.read().split("\n")) if t}
-            provider = OnnxProvider(config.model_path, lambda text: encode_text(text, vocabulary))
+            provider = OnnxProvider(config.model_path, cutter_of(vocabulary).ids)
         registry = Registry.of(intents(spark, config), provider) if provider and config.intents else Registry()
-        turns = spark.createDataFrame([(0, i, x) for i, x in enumerate(lines)], "conv_id long, turn long, text string")
-        done = replay(turns, registry, provider, config.system_prompt, config.history_limit, config.similarity_threshold, None, config.api_model, config.api_temperature if config.api_model else None, config.api_max_tokens if config.api_model else None)
-        for row in done.orderBy("turn").toLocalIterator():
-            if row["route"] is not None:
-                print(f"[ACTION] {row['route']['intent_name']} (score: {row['route']['score']:.6g})")
-            else:
-                print(json.dumps(json.loads(row["payload"]), indent=4, ensure_ascii=False))
-                if row["history"]:
-                    print(f"(+ {len(row['history'])} history messages)")
+        for name in sorted({name for name, _ in registry.rows}):
+            print(f"Registered intent: {name}")
+        if provider is None:
+            print("[INFO] Model files not found: routing is off.")
+        for stream, text in lines_of(Live(spark, config, registry, provider), lines):
+            print(text, file=sys.stderr if stream == "err" else sys.stdout, flush=True)
     except (OSError, RuntimeError, ValueError, TypeError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

@@ -47,6 +47,36 @@ def fetch(urls: DataFrame, fetcher: Callable[[str], str] = fetch_url) -> DataFra
     return urls.select("url").distinct().mapInPandas(get, "url string, body string, error string")
 
 
+def fetched_context(df: DataFrame, text_col: str, wanted=None, fetcher: Callable[[str], str] = fetch_url) -> DataFrame:
+    """df with `context`: the bodies of the text's URLs, read one after the other, and `failed`, the URLs that gave an error.
+
+    Only rows for which `wanted` is true fetch anything. Nothing is shuffled, so this also runs on streams; a URL that stands
+    in several rows of an Arrow batch is read once.
+    """
+    urls = T.extract_urls(F.col(text_col))
+    urls = urls if wanted is None else F.when(wanted, urls)
+
+    def get(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for lists in batches:
+            bodies: dict[str, str | None] = {}
+            out = []
+            for of in lists:
+                of = [] if of is None else list(of)
+                for url in of:
+                    if url not in bodies:
+                        try:
+                            bodies[url] = fetcher(url)
+                        except Exception:  # noqa: BLE001  a link that can't be read is left out
+                            bodies[url] = None
+                out.append(("".join(bodies[u] or "" for u in of), [u for u in of if bodies[u] is None]))
+            yield pd.DataFrame(out, columns=["context", "failed"])
+
+    # As in route_rows, a generator of one row keeps lambda functions out of the Python function's arguments.
+    listed = df.select("*", F.explode(F.array(urls)).alias("__urls"))
+    read = listed.withColumn("__read", F.pandas_udf(get, "context string, failed array<string>")("__urls"))
+    return read.withColumn("context", F.col("__read.context")).withColumn("failed", F.col("__read.failed")).drop("__urls", "__read")
+
+
 def small_enough(body):
     return F.octet_length(body) <= MOST_BYTES
 

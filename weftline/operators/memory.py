@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..sources.files import children, delete
+
 SCHEMA = "conv_id long NOT NULL, id long NOT NULL, role string NOT NULL, content string NOT NULL, ts timestamp"
 
 
@@ -12,6 +14,39 @@ def create_table(spark: SparkSession, name: str) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (conv_id BIGINT, id BIGINT, role STRING, content STRING, ts TIMESTAMP) USING parquet")
 
 
+def _snapshots(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished snapshots below path, oldest first."""
+    return sorted(x for x in children(spark, path) if x.startswith("v-") and "_SUCCESS" in children(spark, f"{path}/{x}/water"))
+
+
+def open_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The log kept at path, and the largest id that each conversation ever had; both empty if there is none yet."""
+    kept = _snapshots(spark, path)
+    if not kept:
+        return spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "conv_id long, last_id long")
+    return spark.read.parquet(f"{path}/{kept[-1]}/log"), spark.read.parquet(f"{path}/{kept[-1]}/water")
+
+
+def keep_log(log: DataFrame, path: str, water: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Writes a log as the newest snapshot at path and reads it back; earlier snapshots go once it is there.
+
+    A snapshot counts when its second table is finished, so a run that breaks off leaves the log before it.
+    """
+    spark = log.sparkSession
+    before = children(spark, path)
+    number = max((int(x[2:]) for x in before if x.startswith("v-")), default=0) + 1
+    last = log.groupBy("conv_id").agg(F.max("id").alias("last_id"))
+    if water is not None:
+        last = last.unionByName(water.select("conv_id", "last_id")).groupBy("conv_id").agg(F.max("last_id").alias("last_id"))
+    own = f"{path}/v-{number:012d}"
+    log.write.parquet(f"{own}/log")
+    last.coalesce(1).write.parquet(f"{own}/water")
+    for x in before:
+        if x.startswith("v-"):
+            delete(spark, f"{path}/{x}")
+    return open_log(spark, path)
+
+
 def append(log: DataFrame, new: DataFrame, high_water: DataFrame | None = None) -> DataFrame:
     """log with the rows of new (conv_id, ord, role, content) after it, numbered by ord from each conversation's largest id.
 

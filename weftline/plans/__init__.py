@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import eval_queries, route_queries, text_queries
+from . import eval_queries, route_queries, text_queries, vector_queries
 
-QUERIES = {**text_queries.QUERIES, **route_queries.QUERIES, **eval_queries.QUERIES}
-ORACLES = {**text_queries.ORACLES, **route_queries.ORACLES, **eval_queries.ORACLES}
+_MODULES = (text_queries, route_queries, eval_queries, vector_queries)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

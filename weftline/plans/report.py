@@ -61,8 +61,53 @@ def charts(results: DataFrame, similarity: DataFrame, matrix: DataFrame, embeddi
     }
 
 
+def charts_of(document: DataFrame) -> dict[str, DataFrame]:
+    """The data of every chart out of a result document (see sources.files.load_results)."""
+    from ..sources.files import sections
+
+    parts = sections(document)
+    latency = ["avg_us", "min_us", "max_us", "p50_us", "p95_us"]
+    found = parts["routing_results"]
+    results = found.select(*[c for c in found.columns if c != "latency"], *[F.col(f"latency.{c}").alias(c) for c in latency]) if "latency" in found.columns else found
+    similar = parts["similarity_results"]
+    names = [f.name for f in similar.schema["scores_by_intent"].dataType.fields]
+    scores = F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(f"scores_by_intent.`{n}`").cast("double") for n in names])), lambda _, x: x.isNotNull())
+    similarity = similar.withColumn("scores", scores).drop("scores_by_intent")
+    whole = document.select("similarity_matrix.*")
+    rows = whole.select("labels", F.posexplode("matrix").alias("a", "row")).select("labels", "a", F.posexplode("row").alias("b", "score"))
+    matrix = rows.select(F.element_at("labels", F.col("a") + 1).alias("i"), F.element_at("labels", F.col("b") + 1).alias("j"), "score")
+    threshold = document.select(F.col("config.threshold")).first()[0]
+    return charts(results, similarity, matrix, parts["embedding_latency"], parts["tokenization_latency"], threshold)
+
+
 def run_all(parts: dict[str, DataFrame], path: str) -> None:
     """Writes the document's tables and the charts' data as JSON lines below path."""
     from ..sources.files import write_results
 
     write_results(parts, path)
+
+
+def main(argv: list[str] | None = None) -> int:
+    """`python -m weftline.plans.report RESULTS FOLDER`: the data of all charts of a result document; exit code 1 on failure."""
+    import sys
+
+    from pyspark.errors import PySparkException
+    from pyspark.sql import SparkSession
+
+    from ..sources.files import load_results
+
+    given = sys.argv[1:] if argv is None else argv
+    if len(given) != 2:
+        print("usage: report RESULTS FOLDER", file=sys.stderr)
+        return 1
+    try:
+        spark = SparkSession.builder.appName("report").getOrCreate()
+        run_all(charts_of(load_results(spark, given[0])), given[1])
+    except (OSError, ValueError, KeyError, PySparkException) as e:
+        print(f"error: {e}", file=sys.stderr)
+        return 1
+    return 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

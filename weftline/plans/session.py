@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
 from ..operators import prompt
-from ..operators.context import url_context
+from ..operators.context import fetched_context, url_context
 from ..operators.memory import history_before
 from ..operators.route import THRESHOLD, Registry, route
 
@@ -38,17 +38,20 @@ def log_of(routed: DataFrame) -> DataFrame:
     return routed.select("conv_id", "turn", F.col("route").isNotNull().alias("matched"), F.explode(rows).alias("m")).select("conv_id", "turn", "matched", "m.*")
 
 
-def replay(turns: DataFrame, registry: Registry | None = None, provider=None, system: str = "You are a helpful AI assistant.", history_limit: int = 10, threshold: float = THRESHOLD, bodies: DataFrame | None = None, model: str | None = None, temperature: float | None = None, max_tokens: int | None = None) -> DataFrame:
+def replay(turns: DataFrame, registry: Registry | None = None, provider=None, system: str = "You are a helpful AI assistant.", history_limit: int = 10, threshold: float = THRESHOLD, bodies: DataFrame | None = None, model: str | None = None, temperature: float | None = None, max_tokens: int | None = None, fetcher=None) -> DataFrame:
     """Every turn (conv_id, turn, text) that has words and comes before its session's end, with what happens to it.
 
     Columns: conv_id, turn, sanitized, route (null unless matched), action (for a match), history, context and payload
-    (else). Pruning a log to twice the history limit never reaches the messages that a history shows, so the history is a
+    (else). The context of turns without a match comes from the links of their text: out of `bodies` (url, body), or read by
+    `fetcher`, a function of a URL. Pruning a log to twice the history limit never reaches the messages that a history shows, so the history is a
     window of `history_limit` messages.
     """
     kept = session_cut(sanitized(turns))
     routed = route(kept, registry or Registry(), provider, threshold)
     if bodies is not None:
         routed = url_context(routed.withColumn("__key", F.struct("conv_id", "turn")), bodies, "__key", "text").drop("__key")
+    elif fetcher is not None:
+        routed = fetched_context(routed, "text", F.col("route").isNull(), fetcher).drop("failed")
     else:
         routed = routed.withColumn("context", F.lit(""))
     log = history_before(log_of(routed), history_limit).filter(F.col("role") == "user").filter(F.col("id") % 2 == 0).select("conv_id", "turn", "history")

@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+def _at(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any of Spark's file systems; none if it is not there."""
+    at, files = _at(spark, path)
+    return [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, files = _at(spark, path)
+    files.delete(at, True)
+
+
 def load_vocab(spark: SparkSession, path: str) -> DataFrame:
     """token and token_id of a vocabulary file: the id is the line's number, empty lines count but are no token, and
     the last of equal lines wins. The file is read whole, so that lines keep their numbers."""
@@ -39,3 +56,16 @@ def write_results(parts: dict[str, DataFrame], path: str) -> None:
     """Each table as a folder of JSON lines below path."""
     for name, df in parts.items():
         df.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def document(parts: dict[str, DataFrame | dict | float | int | str]) -> dict:
+    """One document of tables (as arrays of objects, bounded as reports are) and plain values."""
+    rows = lambda df: [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()]
+    return {k: rows(x) if isinstance(x, DataFrame) else x for k, x in parts.items()}
+
+
+def write_document(parts: dict, path: str) -> None:
+    """The document as one JSON file, with two spaces for each level."""
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(document(parts), f, indent=2, ensure_ascii=False)
+        f.write("\n")
