@@ -73,4 +73,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_url_rules, op2_language, op3_token_store, op4_chat, op5_simhash, op6_toxicity, op7_tiling, op8_pii, op9_quality, op10_packing)}
 
-ORACLES = {"op4_chat": chat.ORACLE, "op9_quality": quality.ORACLE}
+ORACLES = {"op1_url_rules": url_rules.ORACLE, "op4_chat": chat.ORACLE, "op9_quality": quality.ORACLE}
