@@ -220,9 +220,10 @@ def _item_seeds(least: int):
         for batch in batches:
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
                 codes = np.array([code(w) for w in words(text.as_py())], "u8")
-                if len(codes):
-                    seeds = np.unique(grams(codes, min(least, len(codes)))).view("i8")
-                    yield pa.RecordBatch.from_arrays([pa.array(seeds), pa.array(np.full(len(seeds), row, "i8"))], names=["seed", "row"])
+                n = min(least, len(codes))
+                if n:
+                    seeds = np.unique(grams(codes, n)).view("i8")
+                    yield pa.RecordBatch.from_arrays([pa.array(seeds), pa.array(np.full(len(seeds), row, "i8")), pa.array(np.full(len(seeds), n, "i4"))], names=["seed", "row", "n"])
 
     return emit
 
@@ -236,8 +237,8 @@ def _bit_table(seeds: DataFrame) -> np.ndarray:
     return table
 
 
-def _text_hits(table: np.ndarray, least: int):
-    """The runs of words whose seed has its bit in the table: their place, number and words' codes."""
+def _text_hits(table: np.ndarray, sizes: list[int]):
+    """The runs of as many words as seeds have whose seed has its bit in the table: their place, number and words' codes."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -251,7 +252,7 @@ def _text_hits(table: np.ndarray, least: int):
                         known[w] = code(w)
                 codes = np.fromiter(map(known.__getitem__, own), "u8", len(own))
                 at, seeds, runs = [], [], []
-                for n in range(1, least + 1):
+                for n in sizes:
                     h = grams(codes, n)
                     place = h % np.uint64(TABLE_BITS)
                     hits = np.flatnonzero(table[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
@@ -290,10 +291,11 @@ def _joined_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float, least:
     """key (of a text), item_id, covered and item_words of the pairs that reach the coverage, by a join of seeds."""
     items = cut(prepare(benchmark).select(F.col(item_col).cast("long").alias("item_id"), F.col("text")))
     items = items.withColumn("row", F.monotonically_increasing_id())
-    seeds = cut(items.select("row", "text").mapInArrow(_item_seeds(least), "seed long, row long"))
+    seeds = cut(items.select("row", "text").mapInArrow(_item_seeds(least), "seed long, row long, n int"))
+    sizes = sorted(r["n"] for r in seeds.select("n").distinct().collect())
     texts = prepare(docs).select(_key(text_col).alias("key"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    hits = texts.mapInArrow(_text_hits(_bit_table(seeds), least), "key string, at long, seed long, run binary")
-    met = hits.join(seeds, "seed").groupBy("key", "row").agg(F.collect_set(F.struct("at", "run")).alias("runs"))
+    hits = texts.mapInArrow(_text_hits(_bit_table(seeds), sizes), "key string, at long, seed long, run binary")
+    met = hits.join(seeds.drop("n"), "seed").groupBy("key", "row").agg(F.collect_set(F.struct("at", "run")).alias("runs"))
     tiled = met.join(items, "row").select("key", "item_id", "text", "runs").mapInArrow(_tiled(least), "key string, item_id long, covered long, item_words long")
     return cut(tiled.filter(F.col("covered") >= F.lit(coverage) * F.col("item_words")).filter("covered > 0"))
 
