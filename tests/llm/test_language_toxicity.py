@@ -151,6 +151,20 @@ def test_a_pair_without_evidence_of_its_own_is_learned_on_held_out_rows(spark):
         assert len(own) > 20 and sum(found[r[0]] == r[2] for r in own) >= 0.95 * len(own)
 
 
+def test_either_of_two_words_but_not_both_is_learned_on_held_out_rows(spark):
+    """Neither word says anything alone, and no sum of weights gives the label."""
+    rnd = random.Random(1)
+    prose = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
+    rows = []
+    for i in range(4000):
+        a, b = rnd.random() < 0.5, rnd.random() < 0.5
+        rows.append((i, " ".join([rnd.choice(prose) for _ in range(rnd.randint(5, 30))] + ["insulting"] * a + ["groupname"] * b), int(a != b)))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, labels).collect()}
+    held = [r for r in rows if crc_of(r[0]) % 5 == 0]
+    assert len(held) > 600 and sum(found[r[0]] == r[2] for r in held) >= 0.95 * len(held)
+
+
 def test_toxicity_of_odd_rows(spark, odd, nothing):
     labels = spark.createDataFrame([(3, 1), (4, 0), (4, 0), (7, None), (None, 1), (99, 1)], "doc_id long, toxic int")
     found = toxicity.toxicity(odd, labels).collect()

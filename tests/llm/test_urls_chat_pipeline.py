@@ -171,6 +171,27 @@ def test_a_declared_reach_is_checked():
             list(chat.render_parts(turns, declared(wrong, 3), 8))
 
 
+def test_pipeline_of_odd_and_of_empty_tables(spark, odd, nothing, tmp_path):
+    """Nulls in every column, repeated rows, very long texts and columns that operators use themselves, through all stages."""
+    import corpus_pipeline as p
+
+    labels = spark.createDataFrame([(3, 1, 0), (4, None, 1), (None, 0, 1), (7, 1, None), (8, 0, 0), (8, 0, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(None, None), (1, ""), (None, "an item that no text of these has at all"), (2, "twice")], "item_id long, text string")
+    for name, docs in (("odd", odd), ("nothing", nothing)):
+        folder = str(tmp_path / name)
+        for table, df in (("documents", docs), ("labels", labels), ("benchmark", items)):
+            df.write.parquet(f"{folder}/{table}.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in p.STAGES[:-1]:
+            docs = stage(spark, docs, folder)
+            assert docs.dtypes == odd.dtypes
+        rows = p.run(spark, folder).collect()
+        ids = sorted((r["doc_id"] for r in rows), key=lambda x: (x is None, x or 0))
+        assert ids == sorted((r["doc_id"] for r in docs.select("doc_id").collect()), key=lambda x: (x is None, x or 0))
+        # repeated texts go, and texts with the item "twice"; a null id whose text has no other row stays
+        assert ids == ([0, 3, 6, 7, 8, None] if name == "odd" else [])
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 class TestQueries:
     def test_contracts(self, spark):
