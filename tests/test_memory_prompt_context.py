@@ -62,6 +62,14 @@ def test_payloads(spark):
             prompt.api_payload("sys", s, **bad)
 
 
+@pytest.mark.parametrize("where", ["s", "c", "h"])
+def test_text_that_is_no_utf8_is_an_error(spark, where):
+    bad = spark.range(1).select(*[F.expr("cast(X'61ff' as string)" if k == where else "'ok'").alias(k) for k in "sch"])
+    df = bad.withColumn("h", F.array(F.struct(F.lit("user").alias("role"), F.col("h").alias("content"))))
+    with pytest.raises(Exception, match="UTF8"):
+        df.select(prompt.payload("sys", F.col("s"), F.col("c"), F.col("h"))).collect()
+
+
 def test_fetch_and_context(spark):
     def fetcher(url):
         if "bad" in url:

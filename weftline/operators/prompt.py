@@ -1,4 +1,7 @@
-"""Prompt payloads: messages as arrays of structs, and their JSON with keys in alphabetical order."""
+"""Prompt payloads: messages as arrays of structs, and their JSON with keys in alphabetical order.
+
+A text that is no valid UTF-8 is an error, since no JSON can hold it.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +14,10 @@ MESSAGE = "array<struct<content:string,role:string>>"
 
 def messages(system: str, text: Column, context: Column | None = None, history: Column | None = None) -> Column:
     """system, then the history, then the text under its context."""
-    one = lambda role, content: F.array(F.struct(content.alias("content"), F.lit(role).alias("role"))).cast(MESSAGE)
+    one = lambda role, content: F.array(F.struct(F.validate_utf8(content).alias("content"), F.lit(role).alias("role"))).cast(MESSAGE)
     parts = [one("system", F.lit(system))]
     if history is not None:
-        parts.append(F.transform(F.coalesce(history, F.array().cast("array<struct<role:string,content:string>>")), lambda m: F.struct(m["content"].alias("content"), m["role"].alias("role"))).cast(MESSAGE))
+        parts.append(F.transform(F.coalesce(history, F.array().cast("array<struct<role:string,content:string>>")), lambda m: F.struct(F.validate_utf8(m["content"]).alias("content"), F.validate_utf8(m["role"]).alias("role"))).cast(MESSAGE))
     content = T.user_content(text, context) if context is not None else text
     return F.concat(*parts, one("user", content))
 

@@ -26,7 +26,7 @@ from ..functions import text as T
 EARLY_EXIT = 0.35
 THRESHOLD = 0.65
 #: Registered examples; the registry is sent to every task.
-MOST_EXAMPLES, MOST_NUMBERS = 100_000, 1 << 25
+MOST_EXAMPLES, MOST_NUMBERS = 100_000, 1 << 23
 #: Scores of a block that are in memory at a time.
 BLOCK = 1 << 21
 #: How far, at most, a product of unit vectors in single precision is from the exact score: this and a rounding step for each dimension.
