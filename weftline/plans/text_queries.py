@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import context, tokenize
@@ -57,12 +57,12 @@ def url_context(spark, sf_dir):
 
 
 def _vocabulary(spark, sf_dir):
-    """A vocabulary made from the benchmark: beginnings and inner pieces of its words of even length."""
+    """A vocabulary made from the benchmark: beginnings and inner pieces of its words of even length, numbered by their hashes."""
     of = _read(spark, sf_dir, "benchmark").select(F.explode(T.basic_tokens(F.col("text"))).alias("w")).distinct().filter("length(w) % 2 = 0")
     at = F.sequence(F.lit(2), F.length("w"))
     parts = F.concat(F.array(F.substring("w", 1, 1), F.substring("w", 1, 3)), F.transform(at, lambda p: F.concat(F.lit("##"), F.substring(F.col("w"), p, F.lit(1)))), F.transform(at, lambda p: F.concat(F.lit("##"), F.substring(F.col("w"), p, F.lit(2)))))
     tokens = of.select(F.explode(parts).alias("token")).distinct()
-    return tokens.withColumn("token_id", F.row_number().over(Window.orderBy("token")) + 1000)
+    return tokens.withColumn("token_id", F.conv(F.substring(F.md5(F.encode("token", "utf-8")), 1, 7), 16, 10).cast("long") + 1000)
 
 
 def wordpiece_ids(spark, sf_dir):
@@ -83,7 +83,7 @@ ew AS (SELECT w FROM bw WHERE length(w) % 2 = 0),
 parts AS (SELECT substr(w, 1, 1) AS token FROM ew UNION SELECT substr(w, 1, 3) FROM ew
   UNION SELECT '##' || substr(w, p, 1) FROM ew, LATERAL (SELECT unnest(range(2, length(w) + 1)) AS p)
   UNION SELECT '##' || substr(w, p, 2) FROM ew, LATERAL (SELECT unnest(range(2, length(w) + 1)) AS p)),
-vocab AS (SELECT token, row_number() OVER (ORDER BY token) + 1000 AS id FROM parts)"""
+vocab AS (SELECT token, ('0x' || substr(md5(token), 1, 7))::BIGINT + 1000 AS id FROM parts)"""
 
 
 def _pieces(source: str, key: str) -> str:
