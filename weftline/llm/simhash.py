@@ -59,13 +59,13 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.fromiter((fingerprint(x.as_py()) for x in batch.column("text")), "u8", batch.num_rows).view("i8")
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tail"), pa.array(prints)], names=["doc_id", "tail", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(prints)], names=[*batch.schema.names[1:], "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tail: Column | None = None) -> DataFrame:
-    """doc_id, tail (a long that tells rows of one id apart, 0 by default) and fp (the 64 bits as a signed long) of every row; null ids stay null."""
-    rows = prepare(docs).select(F.col(id_col).cast("long").alias("doc_id"), (F.lit(0) if tail is None else tail).cast("long").alias("tail"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, tail long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **others: Column) -> DataFrame:
+    """doc_id, the other long columns asked for, and fp (the 64 bits as a signed long) of every row; null ids stay null."""
+    rows = prepare(docs).select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"), *[c.alias(name) for name, c in others.items()])
+    return rows.mapInArrow(_fingerprints, ", ".join(f"{name} long" for name in ("doc_id", *others, "fp")))
 
 
 class PivotTable:
@@ -241,15 +241,18 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, most: int = MOST_IN_GROUP
     """docs with one row of each component of texts.
 
     Of a component the row with the smallest id stays; a null id comes after all others. Of several rows with that id, whose
-    texts or other columns differ, the one with the smallest hash of text and other columns stays, so the choice is the
-    same each time, and a row with the same id but a text of another component is never dropped for it. Rows alike in all
-    columns stay once. Other columns take part only as JSON in that hash.
+    texts or other columns differ, the one with the smallest hash of its columns stays, so the choice is the same each time,
+    and a row with the same id but a text of another component is never dropped for it. Rows alike in all columns stay once.
+    Rows are named by two hashes (128 bits) of id, text and, as JSON, the other columns. The texts are shuffled once, by these
+    names, for the join with the rows that stay and for leaving out repeats.
     """
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
-    tail = F.xxhash64(F.col(text_col), *([F.to_json(F.struct(*others))] if others else []))
-    prints = cut(fingerprints(docs, id_col, text_col, tail))
+    whole = [F.col(id_col), F.col(text_col), *([F.to_json(F.struct(*others))] if others else [])]
+    # Nulls leave a hash as it is, so which of the columns are null is hashed as well.
+    whole.append(F.concat(*[c.isNull().cast("string") for c in whole]))
+    names = {"__name1": F.xxhash64(*whole), "__name2": F.xxhash64(F.lit(1), *whole)}
+    prints = cut(fingerprints(docs, id_col, text_col, **names))
     first = prints.join(_rooted(prints, radius, most), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = first.groupBy("root", "doc_id").agg(F.min("tail").alias("__tail")).select(F.col("doc_id").alias("__id"), "__tail")
-    named = docs.withColumn("__own", tail)
-    stay = named.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tail")), "left_semi")
-    return stay.dropDuplicates([id_col, "__own"]).drop("__own")
+    kept = first.groupBy("root").agg(F.min(F.struct(*names)).alias("x")).select("x.*")
+    stay = docs.withColumns(names).join(kept, list(names), "left_semi").dropDuplicates(list(names))
+    return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
