@@ -26,7 +26,18 @@ def test_forward_sums_all_segmentations():
     for word in ["a", "ab", "abab", "abcab", "bbab", "ccc"]:
         wanted = [math.log(sum(math.exp(sum(row[PIECES.get(p, -1)] for p in cut)) for cut in segmentations("▁" + word))) for row in logp]
         assert langid.forward(word, logp, PIECES, 3) == pytest.approx(wanted)
-        assert langid.forward_many([word, word[::-1]], langid.scaled(logp, PIECES), PIECES, 3)[0] == pytest.approx(wanted)
+        assert langid.forward_many([word, word[::-1]], langid.scaled(logp, PIECES), langid.PieceIndex(PIECES))[0] == pytest.approx(wanted)
+
+
+def test_words_together_equal_words_alone():
+    """With the whole vocabulary, and words of letters of several scripts."""
+    pieces, longest = langid.vocabulary(langid.default_vocabulary())
+    rnd, rng = random.Random(2), np.random.default_rng(1)
+    logp = np.hstack([np.log(rng.dirichlet(np.ones(len(pieces)), 2)), np.full((2, 1), langid.FLOOR)])
+    index, table, own = langid.PieceIndex(pieces), langid.scaled(logp, pieces), sorted(p.strip(langid.MARK) for p in pieces)
+    for n in (1, 2, 5, 12, 64):
+        words = [("".join(rnd.choice(own) for _ in range(n)) + "日本éß\U00010400" * n)[:n] for _ in range(60)]
+        assert langid.forward_many(words, table, index) == pytest.approx(np.array([langid.forward(w, logp, pieces, longest) for w in words]))
 
 
 def test_estimate_is_expectation_maximisation():

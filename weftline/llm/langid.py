@@ -23,10 +23,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import id_crc, prepare
@@ -197,36 +199,75 @@ def train(docs: DataFrame, path: str | None = None, most_rows: int = MOST_ROWS,
     return Model(langs, prior, logp, path)
 
 
-@lru_cache(maxsize=LONGEST_LINEAR + 2)
-def _arcs_of(n: int, longest: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """(start, end) of all stretches of a marked word of n characters, by end; and where those of each end begin."""
-    spans, begins = [], [0]
-    for end in range(1, n + 1):
-        spans += [(start, end) for start in range(max(0, end - longest), end)]
-        begins.append(len(spans))
-    return spans, begins
-
-
 def scaled(logp: np.ndarray, pieces: dict[str, int]) -> np.ndarray:
     """Raised probabilities with a row for each piece, the floor and, last, a zero for stretches that are no piece."""
     sizes = np.array([*map(len, pieces), 1])
     return np.vstack([np.exp(logp.T + SCALE * sizes[:, None]), np.zeros((1, len(logp)))])
 
 
-def forward_many(words: list[str], table: np.ndarray, pieces: dict[str, int], longest: int) -> np.ndarray:
+def _codes(strings: list[str], n: int) -> np.ndarray:
+    """Code points of strings of n characters, a row for each."""
+    return np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(strings), n)
+
+
+class PieceIndex:
+    """Finds the pieces in many words at once: by a polynomial hash of each stretch, then by comparing its characters."""
+
+    def __init__(self, pieces: dict[str, int]):
+        self.longest = max(map(len, pieces), default=1)
+        sizes: dict[int, list[str]] = {}
+        for p in pieces:
+            sizes.setdefault(len(p), []).append(p)
+        codes = {k: _codes(own, k) for k, own in sizes.items()}
+        for i in count():  # the first multiplier that tells all pieces of one length apart
+            self.factor = np.uint64(xxhash.xxh64_intdigest(b"piece", i) | 1)
+            hashes = {k: self._hash(c) for k, c in codes.items()}
+            if all(len(np.unique(h)) == len(h) for h in hashes.values()):
+                break
+        self._of = {}
+        for k, own in sizes.items():
+            order = np.argsort(hashes[k])
+            self._of[k] = hashes[k][order], np.array([pieces[p] for p in own], "i4")[order], codes[k][order]
+
+    def _hash(self, codes: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(codes), "u8")
+        for column in codes.T:
+            h = h * self.factor + column
+        return h
+
+    def stretches(self, words: list[str], none: int, floor: int) -> dict[int, np.ndarray]:
+        """For each length the pieces at all starts of the marked words, which have one length; `none` where there is no piece,
+        `floor` for a single character that is none."""
+        n = len(words[0]) + 1
+        codes, found = _codes([MARK + w for w in words], n), {}
+        h = np.zeros(codes.shape, "u8")
+        for k in range(1, min(n, self.longest) + 1):
+            h = h[:, : n - k + 1] * self.factor + codes[:, k - 1 :]
+            found[k] = ids = np.full(h.shape, floor if k == 1 else none, "i4")
+            if k in self._of:
+                hashes, numbers, own = self._of[k]
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                row, start = np.nonzero(hashes[at] == h)
+                at = at[row, start]
+                same = (codes[row[:, None], start[:, None] + np.arange(k)] == own[at]).all(axis=1)
+                ids[row[same], start[same]] = numbers[at[same]]
+        return found
+
+
+def forward_many(words: list[str], table: np.ndarray, index: PieceIndex) -> np.ndarray:
     """`forward` of words of one length: all of them move through the positions together. A row for each word."""
-    n = len(words[0]) + 1
-    spans, begins = _arcs_of(n, longest)
-    floor, never = len(table) - 2, len(table) - 1
-    arcs = [(a, b, floor if b - a == 1 else never) for a, b in spans]
-    get = pieces.get
-    ids = np.array([[get(s[a:b], none) for a, b, none in arcs] for s in [MARK + w for w in words]], "i4")
-    sums = np.zeros((len(words), n + 1, table.shape[1]))
-    sums[:, 0] = 1.0
+    n, floor, never = len(words[0]) + 1, len(table) - 2, len(table) - 1
+    found = index.stretches(words, never, floor)
+    sums = np.zeros((n + 1, len(words), table.shape[1]))
+    sums[0] = 1.0
     for end in range(1, n + 1):
-        first = spans[begins[end - 1]][0]
-        sums[:, end] = np.einsum("wsl,wsl->wl", sums[:, first:end], table[ids[:, begins[end - 1] : begins[end]]])
-    return np.log(sums[:, n]) - SCALE * n
+        sums[end] = sums[end - 1] * table[found[1][:, end - 1]]
+        for k in range(2, min(end, index.longest) + 1):
+            ids = found[k][:, end - k]
+            hit = np.flatnonzero(ids != never)
+            if len(hit):
+                sums[end, hit] += sums[end - k, hit] * table[ids[hit]]
+    return np.log(sums[n]) - SCALE * n
 
 
 class Scorer:
@@ -235,7 +276,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.pieces, self.longest = vocabulary(model.path)
-        self._table = scaled(model.logp, self.pieces)
+        self._table, self._index = scaled(model.logp, self.pieces), PieceIndex(self.pieces)
         self._forget()
 
     def _forget(self) -> None:
@@ -253,7 +294,7 @@ class Scorer:
         for n, own in by_length.items():
             for at in range(0, len(own), 512):
                 block = own[at : at + 512]
-                found = [forward(w, self.model.logp, self.pieces, self.longest) for w in block] if n > LONGEST_LINEAR else forward_many(block, self._table, self.pieces, self.longest)
+                found = [forward(w, self.model.logp, self.pieces, self.longest) for w in block] if n > LONGEST_LINEAR else forward_many(block, self._table, self._index)
                 start = len(self._at)
                 self._rows[start : start + len(block)] = found
                 self._at.update(zip(block, range(start, start + len(block))))
@@ -283,7 +324,7 @@ def _predictor(model: Model):
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)
         for texts in batches:
-            rows = [scorer.predict(texts.iloc[at : at + 50].tolist()) for at in range(0, len(texts), 50)]
+            rows = [scorer.predict(texts.iloc[at : at + 250].tolist()) for at in range(0, len(texts), 250)]
             yield pd.DataFrame([x for r in rows for x in r], columns=["lang_pred", "score"])
 
     return F.pandas_udf(predict, "lang_pred string, score double")
